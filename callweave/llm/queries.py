@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,22 +24,73 @@ def op1_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), _vocabulary(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callweave.llm.quality_rules import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callweave.llm.chosen_path import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, threshold=0.8)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callweave.llm.token_counts import token_counts
 
     return token_counts(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callweave.llm.line_dedup import drop_repeated_lines
+
+    return drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callweave.llm.token_files import token_files
 
     return token_files(_table(spark, sf_dir, "documents"), _vocabulary(), outputs=("ids_crc32",))
 
 
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callweave.llm import line_crf
+
+    docs = _table(spark, sf_dir, "documents")
+    model = line_crf.train(docs, _table(spark, sf_dir, "labels"))
+    return line_crf.score(docs, model).withColumn("held_out", line_crf.fold("doc_id") == 0)
+
+
+def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callweave.llm.prefix_forest import PrefixForestIndex
+
+    return PrefixForestIndex(_table(spark, sf_dir, "embeddings")).search(F.col("id") % 20 == 0)
+
+
+def op9_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callweave.llm.shards import shard
+
+    return shard(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callweave.llm.soft_mixing import soft_mixture
+
+    return soft_mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_tree": op1_bpe_tree,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_chosen_path": op3_chosen_path,
     "op4_token_counts": op4_token_counts,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_files": op6_token_files,
+    "op7_line_crf": op7_line_crf,
+    "op8_prefix_forest": op8_prefix_forest,
+    "op9_best_fit_shards": op9_best_fit_shards,
+    "op10_soft_mixing": op10_soft_mixing,
 }
 
 ORACLES: dict[str, str] = {}
