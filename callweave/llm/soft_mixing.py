@@ -64,6 +64,11 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumns({"__upper": _bin(upper, UPPER_BINS), "__symbol": _bin(symbol, SYMBOL_BINS), "__distinct": _bin(distinct, DISTINCT_BINS)})
 
 
+def _sum_of(gain: Column) -> Column:
+    """The gains of the telling words that a document has."""
+    return F.aggregate("__hits", F.lit(0.0), lambda a, w: a + F.element_at(gain, w))
+
+
 class DomainClassifier:
     """Naive Bayes over the bins and the telling words."""
 
@@ -86,10 +91,13 @@ class DomainClassifier:
         lift = F.greatest(*[F.abs(F.col(d) / max(self.totals.get(d, 0), 1) - share) / F.sqrt(share + 0.001) for d in domains])
         self.words = {r.w: {d: r[d] for d in domains} for r in by_word.where(F.length("w") <= 64).withColumn("lift", lift).orderBy(F.desc("lift"), "w").limit(TELLING_WORDS).collect()}
 
-    def posteriors(self, weights: dict[str, float]) -> Column:
-        """An array of the domains' posteriors for rows of ``with_features``."""
+    def with_posteriors(self, rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+        """Rows of ``with_features`` with the array __p of the domains' posteriors.
+
+        Each step is a column of its own, so that it is computed once.
+        """
         if not self.totals:
-            return F.array(*[F.lit(float(weights.get(d, 0))) for d in self.domains])
+            return rows.withColumn("__p", F.array(*[F.lit(float(weights.get(d, 0))) for d in self.domains]))
         every, k = sum(self.totals.values()), len(self.domains)
         words = sorted(self.words)
         logs = []
@@ -103,12 +111,13 @@ class DomainClassifier:
             score = score + F.lit(sum(math.log(1 - p) for p in present.values()))
             if words:
                 gain = F.map_from_arrays(F.array(*[F.lit(w) for w in words]), F.array(*[F.lit(math.log(p / (1 - p))) for p in present.values()]))
-                score = score + F.aggregate(F.array_intersect("__kinds", F.array(*[F.lit(w) for w in words])), F.lit(0.0), lambda a, w: a + F.element_at(gain, w))
+                score = score + _sum_of(gain)
             logs.append(score)
-        joint = F.array(*logs)
-        top = F.array_max(joint)
-        raised = F.transform(joint, lambda x: F.exp(x - top))
-        return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+        told = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+        rows = rows.withColumn("__hits", F.array_intersect("__kinds", told)).withColumn("__joint", F.array(*logs))
+        rows = rows.withColumn("__top", F.array_max("__joint")).withColumn("__raised", F.transform("__joint", lambda x: F.exp(x - F.col("__top"))))
+        rows = rows.withColumn("__sum", F.aggregate("__raised", F.lit(0.0), lambda a, y: a + y))
+        return rows.withColumn("__p", F.transform("__raised", lambda x: x / F.col("__sum")))
 
 
 def rate_of(posteriors: Column, steps: list[list[float]]) -> Column:
@@ -155,7 +164,8 @@ def soft_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] |
     classifier = DomainClassifier(docs, labels, id_col=id_col, text_col=text_col)
     rows = with_features(docs.select(F.col(id_col).alias("id"), F.col(text_col)), text_col)
     unit = F.pmod(F.xxhash64("id", text_col), F.lit(1 << 20)).alias("unit")
-    rows = cut_lineage(rows.select("id", unit, F.col("__tokens").alias("tokens"), classifier.posteriors(weights).alias("p")))
+    rows = classifier.with_posteriors(rows, weights)
+    rows = cut_lineage(rows.select("id", unit, F.col("__tokens").alias("tokens"), F.col("__p").alias("p")))
     steps = solve(rows, classifier.domains, weights, total)
     rated = rows.withColumn("rate", rate_of(F.col("p"), steps))
     copies = (F.floor("rate") + (F.col("unit") / (1 << 20) < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
@@ -166,7 +176,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     """``docs`` with each row as often as its rate says, and its columns only."""
     weights = weights or WEIGHTS
     classifier = DomainClassifier(docs, labels, id_col=id_col, text_col=text_col)
-    rows = with_features(docs, text_col).withColumn("__p", classifier.posteriors(weights))
+    rows = classifier.with_posteriors(with_features(docs, text_col), weights)
     narrow = cut_lineage(rows.select(F.col("__tokens").alias("tokens"), F.col("__p").alias("p")))
     steps = solve(narrow, classifier.domains, weights, total)
     copies = _copies(rate_of(F.col("__p"), steps), id_col, text_col)
