@@ -28,6 +28,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a few dozen bytes that are broadcast at most, in place of shuffling all texts.
+BROADCAST_ROWS = 300_000
+
+
+def bounded(side: DataFrame) -> DataFrame:
+    """A checkpointed side, for broadcast if it has up to ``BROADCAST_ROWS`` rows; else the join shuffles."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,23 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import cut_lineage
+from callweave.llm.common import BROADCAST_ROWS, bounded, cut_lineage
 
 MIN_CHARS = 20
 LAST = (1 << 63) - 1
-#: Rows of a few dozen bytes that are broadcast at most, in place of shuffling all texts.
-BROADCAST_ROWS = 300_000
 
 
 def _order(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(text_col)
 
 
-def _bounded(side: DataFrame) -> DataFrame:
-    """A checkpointed side, for broadcast if it has up to ``BROADCAST_ROWS`` rows; else the join shuffles."""
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
-
-
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """One row for each compared line: where it is (doc, version, pos), its text and its key (h1, h2)."""
     doc, version = _order(id_col, text_col)
@@ -79,7 +72,7 @@ def _near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
     found = cut_lineage(halves.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.lit(1).alias("one")).drop("one"))
     firsts = cut_lineage(distinct.join(found, ["h1", "h2"]).select("h1", "h2", "first"))
-    texts = lines.join(_bounded(firsts), ["h1", "h2"]).where("doc = first.doc and version = first.version and pos = first.pos")
+    texts = lines.join(bounded(firsts), ["h1", "h2"]).where("doc = first.doc and version = first.version and pos = first.pos")
     texts = cut_lineage(texts.dropDuplicates(["h1", "h2"]).select("h1", "h2", "first", "line", F.length("line").alias("n")))
     blocks = texts.select("h1", "h2", "first", "line", F.explode(F.expr(BLOCKS)).alias("b")).selectExpr(
         "h1", "h2", "first", "b.role as role", "b.at as at", "substring(line, b.at + 1, b.size) as block",
@@ -116,7 +109,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dropped = dropped_lines(docs, id_col, text_col, min_chars).groupBy("doc", "version").agg(F.array_sort(F.collect_set("pos")).alias("__dropped"))
     dropped = cut_lineage(dropped.withColumnsRenamed({"doc": "__doc", "version": "__version"}))
     lines_dropped = dropped.agg(F.sum(F.size("__dropped"))).first()[0] or 0
-    dropped = _bounded(dropped) if lines_dropped <= 4 * BROADCAST_ROWS else dropped
+    dropped = bounded(dropped) if lines_dropped <= 4 * BROADCAST_ROWS else dropped
     doc, version = _order(id_col, text_col)
     joined = docs.withColumns({"__doc": doc, "__version": version}).join(dropped, ["__doc", "__version"], "left")
     rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("__dropped", i)), "\n")
