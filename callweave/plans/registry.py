@@ -1,4 +1,265 @@
 """Queries over the test tables and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from callweave.functions import expressions as X
+from callweave.operators import ensemble as E
+from callweave.operators import intervals as I
+from callweave.operators import reads as R
+from callweave.plans.views import duck, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+CALLERS = [f"c{i}" for i in range(1, 8)]
+
+
+def query(sql: str):
+    """Register a function of (view getter) with its SQL over the views."""
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: view(spark, sf_dir, name))
+        ORACLES[f.__name__] = duck(sql)
+        return f
+
+    return register
+
+
+VOTES = """select chrom, pos, ref, alt, sum(v) as votes, sum(case when v = 1 then 1 else 0 end) as num_tools, count(*) as n_callers
+ from (select chrom, pos, ref, alt, caller, max(case filter when 'REJECT' then 0.0 when 'LowQual' then 0.5 else 1.0 end) as v from calls_v group by all) group by chrom, pos, ref, alt"""
+LABELLED = f"""select v.*, case when t.pos is null then 0 else 1 end as is_true,
+ case when num_tools > 3.5 then 'PASS' when num_tools >= 1 and num_tools >= 2.31 then 'LowQual' else 'REJECT' end as consensus
+ from ({VOTES}) v left join truth_v t on v.chrom = t.chrom and v.pos = t.pos and v.ref = t.ref and v.alt = t.alt"""
+MERGED = """select {by}chrom, min(start0) as start0, max(end0) as end0 from (select *, sum(new) over (partition by {by}chrom order by start0, end0) as island from
+ (select *, case when start0 > max(end0) over (partition by {by}chrom order by start0, end0 rows between unbounded preceding and 1 preceding) then 1 else 0 end as new from regions_v))
+ group by {by}chrom, island"""
+
+
+def _labelled(v) -> DataFrame:
+    return E.label_truth(E.count_votes(v("calls_v")), v("truth_v")).withColumn("consensus", E.consensus_label("num_tools", len(CALLERS)))
+
+
+def _votes(df: DataFrame) -> DataFrame:
+    return df.withColumn("votes", F.col("votes").cast("double"))
+
+
+@query(LABELLED.replace("select v.*", "select v.chrom, v.pos, v.ref, v.alt, cast(votes as double) as votes, cast(num_tools as bigint) as num_tools, n_callers"))
+def consensus_truth(v):
+    return _votes(_labelled(v))
+
+
+@query(f"""select tp, fp, n - tp as fn, tp / (tp + fp) as precision, tp / n as sensitivity, 2.0 * tp / (2.0 * tp + fp + n - tp) as f1
+ from (select count(*) filter (where is_true = 1 and consensus <> 'REJECT') as tp, count(*) filter (where is_true = 0 and consensus <> 'REJECT') as fp, (select count(*) from truth_v) as n from ({LABELLED}))""")
+def consensus_metrics(v):
+    return E.metrics(_labelled(v), v("truth_v").count(), F.col("consensus") != "REJECT")
+
+
+@query("select distinct chrom, pos, ref, alt from calls_v")
+def union_variants(v):
+    return E.union_variants(v("calls_v"))
+
+
+@query(f"select chrom, pos, ref, alt, cast(votes as double) as votes, cast(num_tools as bigint) as num_tools, n_callers from ({VOTES}) where votes >= 1.5")
+def min_callers(v):
+    return _votes(E.min_callers(E.count_votes(v("calls_v")), 1.5))
+
+
+@query(f"select chrom, pos, ref, alt, cast(votes as double) as votes, cast(num_tools as bigint) as num_tools, n_callers from ({VOTES.replace('from calls_v', "from calls_v where caller not in ('c1', 'c2')")}) where votes > 0")
+def subset_callers(v):
+    return _votes(E.subtract_callers(v("calls_v"), ["c1", "c2"]))
+
+
+@query("""select cast(s as int) as callers, count(*) as calls, cast(sum(t) as bigint) as true_calls from
+ (select m.mask, case when t.pos is null then 0 else 1 end as t from (select chrom, pos, ref, alt, bit_or(1 << (cast(substr(caller, 2) as int) - 1)) as mask from calls_v where filter = 'PASS' group by all) m
+  left join truth_v t on m.chrom = t.chrom and m.pos = t.pos and m.ref = t.ref and m.alt = t.alt), range(1, 128) r(s) where mask & cast(s as int) <> 0 group by s""")
+def caller_combos(v):
+    return E.caller_combinations(v("calls_v"), v("truth_v"), CALLERS)
+
+
+def _include(sql: str) -> str:
+    return f"select * from calls_v c where {sql}"
+
+
+TOUCH = "exists (select 1 from regions_v r where r.chrom = c.chrom and r.start0 < c.pos - 1 + length(c.ref) and c.pos - 1 < r.end0 and r.label = '{}')"
+
+
+@query(_include(TOUCH.format("F")))
+def include_regions(v):
+    return I.include_regions(v("calls_v"), v("regions_v").where("label = 'F'"))
+
+
+@query(_include("not " + TOUCH.format("O")))
+def exclude_regions(v):
+    return I.exclude_regions(v("calls_v"), v("regions_v").where("label = 'O'"))
+
+
+@query(_include(TOUCH.format("F") + " and not " + TOUCH.format("O")))
+def intersect_regions(v):
+    r = v("regions_v")
+    return I.intersect_regions(v("calls_v"), r.where("label = 'F'"), r.where("label = 'O'"))
+
+
+@query("select chrom, pos, exists (select 1 from regions_v r where r.chrom = t.chrom and r.start0 < t.pos and t.pos <= r.end0) as in_region from truth_v t")
+def in_region(v):
+    return I.in_region(v("truth_v").select("chrom", "pos"), v("regions_v"))
+
+
+@query("select chrom, unnest(range(start0 + 1, end0 + 1)) as pos from regions_v where label = 'P'")
+def sites_from_regions(v):
+    return I.sites_from_regions(v("regions_v").where("label = 'P'"))
+
+
+@query(MERGED.format(by=""))
+def merge_intervals(v):
+    return I.merge_intervals(v("regions_v"))
+
+
+@query(f"""with m as ({MERGED.format(by='label, ')}),
+ e as (select chrom, start0 as p from m union select chrom, end0 from m union select distinct chrom, 0 from m union select distinct chrom, 20600 from m),
+ s as (select chrom, p as start0, lead(p) over (partition by chrom order by p) as end0 from e)
+ select s.chrom, s.start0, s.end0, count(m.label) as n_sets, coalesce(string_agg(m.label, ',' order by m.label), '.') as labels
+ from s left join m on m.chrom = s.chrom and m.start0 < s.end0 and s.start0 < m.end0 where s.end0 is not null group by s.chrom, s.start0, s.end0""")
+def count_loci_labels(v):
+    r = v("regions_v")
+    return I.count_loci(r, r.select("chrom").distinct().withColumn("size", F.lit(20600).cast("long")))
+
+
+@query(f"""with m as ({MERGED.format(by='')}), o as (select *, sum(end0 - start0) over (order by chrom, start0, end0) - (end0 - start0) as off, cast(ceil(sum(end0 - start0) over () / 7.0) as bigint) as per from m)
+ select s + 1 as shard, chrom, greatest(start0, start0 + s * per - off) as start0, least(end0, start0 + (s + 1) * per - off) as end0
+ from (select *, cast(unnest(range(cast(off // per as bigint), cast((off + end0 - start0 - 1) // per as bigint) + 1)) as bigint) as s from o)""")
+def split_equal_bp(v):
+    return I.split_equal_bp(I.merge_intervals(v("regions_v")), 7)
+
+
+@query("""select chrom, start0 + k * 150 as start0, least(end0, start0 + k * 150 + 200) as end0, concat_ws('_', chrom, start0, k) as name
+ from (select *, unnest(range(greatest(1, cast(ceil((end0 - start0 - 50) / 150.0) as bigint)))) as k from regions_v)""")
+def tile_regions(v):
+    return I.tile_regions(v("regions_v"), 200, 50)
+
+
+def _flags(c: str = "upper(ref || alt)") -> str:
+    return ", ".join(f"case when {c} in {v} then 1 else 0 end as {k}" for k, v in X.SUBSTITUTIONS.items())
+
+
+@query(f"select chrom, pos, ref, alt, {_flags()} from truth_v")
+def substitution_class(v):
+    return X.with_substitution(v("truth_v"))
+
+
+@query("select ref || '>' || alt as substitution, filter, count(*) as n from calls_v group by all")
+def substitution_by_label(v):
+    return v("calls_v").groupBy(F.concat("ref", F.lit(">"), "alt").alias("substitution"), "filter").agg(F.count("*").alias("n"))
+
+
+COMPLEX = "select read_id, start0 as pos, substr('GATTACAGATTACA', cast(1 + read_id % 7 as int), cast(1 + read_id % 5 as int)) as ref, substr('CATGCATGCATG', cast(1 + read_id % 4 as int), cast(1 + read_id % 3 as int)) as alt from reads_v"
+
+
+def _complex(v) -> DataFrame:
+    reads = v("reads_v")
+    return reads.sparkSession.sql(COMPLEX.replace("from reads_v", "from {r}"), r=reads)
+
+
+@query(f"select read_id, case when length(ref) = 1 and length(alt) = 1 then 'snv' when length(ref) = 1 or length(alt) = 1 then 'indel' else 'complex' end as kind, length(alt) - length(ref) as indel_length from ({COMPLEX})")
+def variant_class(v):
+    return _complex(v).select("read_id", X.variant_class().alias("kind"), X.indel_length().cast("long").alias("indel_length"))
+
+
+@query(f"""with c as (select *, least(length(ref), length(alt)) as m from ({COMPLEX}))
+ select read_id, pos + o as pos, substr(ref, o + 1, 1) as ref, substr(alt, o + 1, 1) as alt from (select *, unnest(range(m)) as o from c) where substr(ref, o + 1, 1) <> substr(alt, o + 1, 1)
+ union all select read_id, pos + m - 1, substr(ref, m), substr(ref, m, 1) from c where length(ref) > length(alt)
+ union all select read_id, pos + m - 1, substr(ref, m, 1), substr(ref, m, 1) || substr(alt, m + 1) from c where length(ref) < length(alt)""")
+def decompose_complex(v):
+    return X.decompose_complex(_complex(v))
+
+
+SEQ = "(select doc_id, substr(seq0, 1, 60) as seq from sequences_v)"
+
+
+@query(f"select doc_id, reverse(translate(seq, 'GTCAN', 'CAGTN')) as rc from {SEQ}")
+def reverse_complement(v):
+    return v("sequences_v").selectExpr("doc_id", "substr(seq0, 1, 60) as seq").select("doc_id", X.reverse_complement("seq").alias("rc"))
+
+
+@query(f"""select doc_id, max(n) as longest, count(*) as runs from (select doc_id, g, count(*) as n from (select doc_id, i, sum(case when i > 1 and substr(seq, i, 1) = substr(seq, i - 1, 1) then 0 else 1 end) over (partition by doc_id order by i) as g
+ from (select doc_id, seq, unnest(range(1, length(seq) + 1)) as i from {SEQ})) group by doc_id, g) group by doc_id""")
+def run_lengths(v):
+    runs = v("sequences_v").selectExpr("doc_id", "substr(seq0, 1, 60) as seq").where("seq <> ''").select("doc_id", X.run_lengths("seq").alias("r"))
+    return runs.select("doc_id", F.array_max("r").cast("long").alias("longest"), F.size("r").cast("long").alias("runs"))
+
+
+@query(f"""select doc_id, round(k / m, 9) as complexity from (select doc_id, count(distinct substr(seq, i, w)) as k from (select doc_id, seq, w, unnest(range(1, length(seq) - w + 2)) as i from (select doc_id, seq, unnest(range(1, least(4, length(seq)) + 1)) as w from {SEQ})) group by doc_id)
+ join (select doc_id as d, sum(least(pow(4, w), length(seq) - w + 1)) as m from (select doc_id, seq, unnest(range(1, least(4, length(seq)) + 1)) as w from {SEQ}) group by doc_id) on d = doc_id""")
+def linguistic_complexity(v):
+    return v("sequences_v").selectExpr("doc_id", "substr(seq0, 1, 60) as seq").where("seq <> ''").select("doc_id", F.round(X.linguistic_complexity("seq", 4), 9).alias("complexity"))
+
+
+@query("""select read_id, round(case when p = 0 then 40.0 when p = 1 then 0.0 else least(-10 * log10(p), 40.0) end, 9) as phred, round(pow(10.0, -mapq / 10.0), 12) as p_wrong,
+ case when d = 0 then case when u > 0 then 100.0 end else least(round(u / d, 9), 100.0) end as odds, case when t = 0 then './.' when (af + ar) / t > 0.85 then '1/1' when (af + ar) / t >= 0.01 then '0/1' else '0/0' end as gt,
+ case when t = 0 then 0.0 else round((af + ar) / t, 9) end as vaf
+ from (select *, (read_id % 101) / 100.0 as p, cast((read_id % 7) * (read_id % 5) as double) as u, cast((read_id % 3) * (read_id % 4) as double) as d, read_id % 3 as rf, read_id % 4 as rr, read_id % 7 as af, read_id % 5 as ar, cast(read_id % 3 + read_id % 4 + read_id % 7 + read_id % 5 as double) as t from reads_v)""")
+def phred_and_ratios(v):
+    i = F.col("read_id")
+    rf, rr, af, ar = i % 3, i % 4, i % 7, i % 5
+    odds = X.odds_ratio(rf.cast("double"), af.cast("double"), ar.cast("double"), rr.cast("double"))
+    return v("reads_v").select("read_id", F.round(X.p2phred((i % 101) / F.lit(100.0), 40.0), 9).alias("phred"), F.round(X.phred2p(F.col("mapq")), 12).alias("p_wrong"), F.round(odds, 9).alias("odds"), X.genotype(rf, rr, af, ar).alias("gt"), F.round(X.vaf(af + ar, rf + rr), 9).alias("vaf"))
+
+
+@query("select * from reads_v where mapq >= 20 and nm <= 3 and is_proper_pair and cigar not like '%S%'")
+def filter_reads(v):
+    return R.filter_reads(v("reads_v"), 20, 3, True, True)
+
+
+@query("select read_id, case cigar when '5S95M' then '95M' when '90M10S' then '90M' else cigar end as cigar, case cigar when '5S95M' then 5 when '90M10S' then 10 else 0 end as trimmed from reads_v")
+def trim_soft_clips(v):
+    return R.trim_soft_clips(v("reads_v")).select("read_id", "cigar", "trimmed")
+
+
+@query("select a.qname, a.chrom as chrom1, a.start0 as start1, b.chrom as chrom2, b.start0 as start2 from reads_v a join reads_v b on a.qname = b.qname where not a.is_reverse and b.is_reverse")
+def mate_pairs(v):
+    return R.mate_pairs(v("reads_v"))
+
+
+@query("""select count(*) as total, count(*) filter (where is_duplicate) as duplicates, count(*) filter (where cigar like '%S%' and not is_proper_pair) as clipped_discordant, count(*) filter (where cigar like '%S%' and is_proper_pair) as clipped_only,
+ count(*) filter (where cigar not like '%S%' and not is_proper_pair) as discordant_only, count(*) filter (where mapq = 0) as mq0 from reads_v""")
+def reads_qc(v):
+    return R.reads_qc(v("reads_v"))
+
+
+SPANS = """(select chrom, start0 + s as s, start0 + e as e from reads_v join (values ('100M',0,100),('40M2I58M',0,98),('50M3D50M',0,50),('50M3D50M',53,103),('5S95M',0,95),('90M10S',0,90),('30M1D70M',0,30),('30M1D70M',31,101)) as b(c, s, e) on cigar = c where mapq >= 10 and not is_duplicate)"""
+
+
+@query(f"""select chrom, start0, end0, depth from (select chrom, start0, lead(start0) over (partition by chrom order by start0) as end0, cast(sum(d) over (partition by chrom order by start0) as bigint) as depth
+ from (select chrom, p as start0, sum(d) as d from (select chrom, s as p, 1 as d from {SPANS} union all select chrom, e, -1 from {SPANS}) group by chrom, p having sum(d) <> 0)) where depth > 0""")
+def coverage_depth(v):
+    return R.coverage_depth(v("reads_v"), 10)
+
+
+@query("""with r as (select *, start0 + case cigar when '40M2I58M' then 98 when '50M3D50M' then 103 when '5S95M' then 95 when '90M10S' then 90 when '30M1D70M' then 101 else 100 end as end0 from reads_v where not is_duplicate),
+ s as (select distinct chrom, pos from truth_v)
+ select s.chrom, s.pos, count(qname) as dp, count(qname) filter (where mapq = 0) as mq0, count(qname) filter (where mapq >= 1 and is_proper_pair) as concordant, count(qname) filter (where mapq >= 1 and not is_proper_pair) as discordant,
+ count(qname) filter (where mapq >= 1 and not is_reverse) as forward, count(qname) filter (where mapq >= 1 and is_reverse) as reverse, round(avg(mapq), 6) as mean_mq
+ from s left join r on r.chrom = s.chrom and r.start0 < s.pos and s.pos <= r.end0 group by s.chrom, s.pos""")
+def site_depth(v):
+    return R.site_depth(v("reads_v"), v("truth_v").select("chrom", "pos").distinct())
+
+
+@query("""with m as (select *, row_number() over (partition by chrom, pos order by ref, alt) as k from (select distinct chrom, pos, ref, alt from calls_v where filter = 'PASS')),
+ t as (select *, row_number() over (partition by chrom, pos order by ref, alt) as k from truth_v)
+ select coalesce(m.chrom, t.chrom) as chrom, coalesce(m.pos, t.pos) as pos, coalesce(m.k, t.k) as k, case when m.pos is null then 'FalseNegative' when t.pos is null then 'FalsePositive' else 'Correct' end as status
+ from m full join t on m.chrom = t.chrom and m.pos = t.pos and m.k = t.k""")
+def compare_callsets(v):
+    return E.compare_callsets(v("calls_v").where("filter = 'PASS'"), v("truth_v"))
+
+
+@query("select chrom, pos, ref, alt, " + ", ".join(f"max(filter) filter (where caller = '{c}') as {c}" for c in CALLERS) + ", count(distinct caller) filter (where filter = 'PASS') as num from calls_v group by chrom, pos, ref, alt having count(distinct caller) filter (where filter = 'PASS') >= 1")
+def tally_samples(v):
+    return E.tally_samples(v("calls_v"), CALLERS)
+
+
+@query("select w.*, coalesce(c.filter, 'NONE') as filter from (select * from (select distinct chrom, pos, ref, alt from calls_v), (select distinct caller from calls_v)) w left join calls_v c on c.chrom = w.chrom and c.pos = w.pos and c.ref = w.ref and c.alt = w.alt and c.caller = w.caller")
+def fill_missing_samples(v):
+    return E.fill_missing_samples(v("calls_v"), CALLERS)

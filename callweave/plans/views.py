@@ -50,4 +50,4 @@ def duck(sql: str) -> str:
     used = [n for n in VIEWS if n in sql]
     text = ", ".join(f"{n} as ({VIEWS[n]})" for n in used)
     text = f"with {text} {',' + sql[5:] if sql.lower().startswith('with ') else sql}" if used else sql
-    return text.replace(" as string)", " as varchar)")
+    return text.replace(" as string)", " as varchar)").replace("'[^ACGT]', 'ACGT')", "'[^ACGT]', 'ACGT', 'g')")
