@@ -176,25 +176,31 @@ def decompose_complex(v):
     return X.decompose_complex(_complex(v))
 
 
-SEQ = "(select doc_id, substr(seq0, 1, 60) as seq from sequences_v)"
+#: Windows of 81 bases, one after another, over whole sequences.
+SEQ = "(select doc_id, w, list_extract(regexp_extract_all(seq0, '.{1,81}'), w) as seq from (select *, unnest(range(1, (length(seq0) + 80) // 81 + 1)) as w from sequences_v))"
 
 
-@query(f"select doc_id, reverse(translate(seq, 'GTCAN', 'CAGTN')) as rc from {SEQ}")
+def _windows(v) -> DataFrame:
+    cut = F.posexplode(F.regexp_extract_all("seq0", F.lit(".{1,81}"), F.lit(0))).alias("w", "seq")
+    return v("sequences_v").select("doc_id", cut).withColumn("w", (F.col("w") + 1).cast("long"))
+
+
+@query("select doc_id, reverse(translate(seq0, 'GTCAN', 'CAGTN')) as rc from sequences_v")
 def reverse_complement(v):
-    return v("sequences_v").selectExpr("doc_id", "substr(seq0, 1, 60) as seq").select("doc_id", X.reverse_complement("seq").alias("rc"))
+    return v("sequences_v").select("doc_id", X.reverse_complement("seq0").alias("rc"))
 
 
-@query(f"""select doc_id, max(n) as longest, count(*) as runs from (select doc_id, g, count(*) as n from (select doc_id, i, sum(case when i > 1 and substr(seq, i, 1) = substr(seq, i - 1, 1) then 0 else 1 end) over (partition by doc_id order by i) as g
- from (select doc_id, seq, unnest(range(1, length(seq) + 1)) as i from {SEQ})) group by doc_id, g) group by doc_id""")
+@query(f"""select doc_id, w, max(n) as longest, count(*) as runs from (select doc_id, w, g, count(*) as n from (select doc_id, w, i, sum(case when i > 1 and substr(seq, i, 1) = substr(seq, i - 1, 1) then 0 else 1 end) over (partition by doc_id, w order by i) as g
+ from (select doc_id, w, seq, unnest(range(1, length(seq) + 1)) as i from {SEQ})) group by doc_id, w, g) group by doc_id, w""")
 def run_lengths(v):
-    runs = v("sequences_v").selectExpr("doc_id", "substr(seq0, 1, 60) as seq").where("seq <> ''").select("doc_id", X.run_lengths("seq").alias("r"))
-    return runs.select("doc_id", F.array_max("r").cast("long").alias("longest"), F.size("r").cast("long").alias("runs"))
+    runs = _windows(v).select("doc_id", "w", X.run_lengths("seq").alias("r"))
+    return runs.select("doc_id", "w", F.array_max("r").cast("long").alias("longest"), F.size("r").cast("long").alias("runs"))
 
 
-@query(f"""select doc_id, round(k / m, 9) as complexity from (select doc_id, count(distinct substr(seq, i, w)) as k from (select doc_id, seq, w, unnest(range(1, length(seq) - w + 2)) as i from (select doc_id, seq, unnest(range(1, least(4, length(seq)) + 1)) as w from {SEQ})) group by doc_id)
- join (select doc_id as d, sum(least(pow(4, w), length(seq) - w + 1)) as m from (select doc_id, seq, unnest(range(1, least(4, length(seq)) + 1)) as w from {SEQ}) group by doc_id) on d = doc_id""")
+@query(f"""select doc_id, w, round(k / m, 9) as complexity from (select doc_id, w, any_value(m) as m, count(distinct substr(seq, i, z)) as k from (select *, unnest(range(1, length(seq) - z + 2)) as i from
+ (select *, unnest(range(1, least(4, length(seq)) + 1)) as z from (select *, case length(seq) when 1 then 1.0 else list_sum([least(pow(4, x), length(seq) - x + 1) for x in range(1, least(4, length(seq)) + 1)]) end as m from {SEQ}))) group by doc_id, w)""")
 def linguistic_complexity(v):
-    return v("sequences_v").selectExpr("doc_id", "substr(seq0, 1, 60) as seq").where("seq <> ''").select("doc_id", F.round(X.linguistic_complexity("seq", 4), 9).alias("complexity"))
+    return _windows(v).select("doc_id", "w", F.round(X.linguistic_complexity("seq", 4), 9).alias("complexity"))
 
 
 @query("""select read_id, round(case when p = 0 then 40.0 when p = 1 then 0.0 else least(-10 * log10(p), 40.0) end, 9) as phred, round(pow(10.0, -mapq / 10.0), 12) as p_wrong,

@@ -31,7 +31,7 @@ VIEWS = {
                cast(event_id % 61 as int) as mapq, event_id % 2 = 1 as is_reverse, event_id % 17 = 0 as is_duplicate,
                event_id % 9 <> 0 as is_proper_pair, cast(event_id % 5 as int) as nm
         from events""",
-    "sequences_v": "select doc_id, regexp_replace(upper(substr(text, 1, 60)), '[^ACGT]', 'ACGT') as seq0 from documents",
+    "sequences_v": "select doc_id, upper(regexp_replace(text, '[^ACGTacgt]', 'A')) as seq0 from documents",
 }
 TABLES = ("orders", "lineitem", "part", "events", "customer", "documents")
 
@@ -50,4 +50,4 @@ def duck(sql: str) -> str:
     used = [n for n in VIEWS if n in sql]
     text = ", ".join(f"{n} as ({VIEWS[n]})" for n in used)
     text = f"with {text} {',' + sql[5:] if sql.lower().startswith('with ') else sql}" if used else sql
-    return text.replace(" as string)", " as varchar)").replace("'[^ACGT]', 'ACGT')", "'[^ACGT]', 'ACGT', 'g')")
+    return text.replace(" as string)", " as varchar)").replace("'[^ACGTacgt]', 'A')", "'[^ACGTacgt]', 'A', 'g')")
