@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import cut_lineage
+from callweave.llm.common import bounded, cut_lineage
 
 MAX_TRAIN_DOCS = 6000
 TELLING_WORDS = 48
@@ -144,41 +144,41 @@ def solve(rows: DataFrame, domains: tuple[str, ...], weights: dict[str, float],
     heavy = max(range(len(domains)), key=lambda i: share[i])
     target = [s * (total if total is not None else have[heavy] / share[heavy] if share[heavy] else 0) for s in share]
     steps: list[list[float]] = []
-    now = have
+    now, before = have, 0.0
     for _ in range(MAX_STEPS):
-        if all(abs(a - t) <= TOLERANCE * max(t, 0.001 * sum(target)) for a, t in zip(now, target, strict=True)):
+        off = sum(abs(a - t) for a, t in zip(now, target, strict=True))
+        if off <= TOLERANCE * sum(target) or steps and off > 0.98 * before:  # near enough, or at rest on the bounds
             break
+        before = off
         steps.append([(a - t) / h if h else 0.0 for a, t, h in zip(now, target, have, strict=True)])
         now = sums(rate_of(F.col("p"), steps))
     return steps
 
 
-def _copies(rate: Column, id_col: str, text_col: str) -> Column:
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 20)) / (1 << 20)
-    return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int")
-
-
-def soft_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_tokens, the posteriors p_<domain>, rate and copies for every document."""
-    weights = weights or WEIGHTS
+def _rated(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None, id_col: str, text_col: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """id, key (a hash of the text), tokens, p, rate and copies of every document, from a checkpoint; the domains."""
     classifier = DomainClassifier(docs, labels, id_col=id_col, text_col=text_col)
     rows = with_features(docs.select(F.col(id_col).alias("id"), F.col(text_col)), text_col)
-    unit = F.pmod(F.xxhash64("id", text_col), F.lit(1 << 20)).alias("unit")
+    key = F.xxhash64("id", text_col).alias("key")
     rows = classifier.with_posteriors(rows, weights)
-    rows = cut_lineage(rows.select("id", unit, F.col("__tokens").alias("tokens"), F.col("__p").alias("p")))
+    rows = cut_lineage(rows.select("id", key, F.col("__tokens").alias("tokens"), F.col("__p").alias("p")))
     steps = solve(rows, classifier.domains, weights, total)
     rated = rows.withColumn("rate", rate_of(F.col("p"), steps))
-    copies = (F.floor("rate") + (F.col("unit") / (1 << 20) < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
-    return rated.select(F.col("id").alias(id_col), F.col("tokens").alias("n_tokens"), *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(classifier.domains)], "rate", copies.alias("copies"))
+    chance = F.pmod("key", F.lit(1 << 20)) / (1 << 20)
+    copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
+    return rated.withColumn("copies", copies), classifier.domains
+
+
+def soft_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, n_tokens, the posteriors p_<domain>, rate and copies for every document."""
+    rated, domains = _rated(docs, labels, weights or WEIGHTS, total, id_col, text_col)
+    return rated.select(F.col("id").alias(id_col), F.col("tokens").alias("n_tokens"), *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", "copies")
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its rate says, and its columns only."""
-    weights = weights or WEIGHTS
-    classifier = DomainClassifier(docs, labels, id_col=id_col, text_col=text_col)
-    rows = classifier.with_posteriors(with_features(docs, text_col), weights)
-    narrow = cut_lineage(rows.select(F.col("__tokens").alias("tokens"), F.col("__p").alias("p")))
-    steps = solve(narrow, classifier.domains, weights, total)
-    copies = _copies(rate_of(F.col("__p"), steps), id_col, text_col)
-    repeated = rows.withColumn("__copies", copies).where("__copies > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    rated, _ = _rated(docs, labels, weights or WEIGHTS, total, id_col, text_col)
+    wanted = rated.select(F.col("key").alias("__key"), F.col("copies").alias("__copies")).where("__copies > 0").dropDuplicates(["__key"])
+    wanted = cut_lineage(wanted)
+    repeated = docs.withColumn("__key", F.xxhash64(id_col, text_col)).join(bounded(wanted), "__key").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
