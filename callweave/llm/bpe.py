@@ -19,7 +19,7 @@ from callweave.llm.common import string_array, utf8
 #: Texts of one call stay under this many bytes (a longer text stands alone).
 BATCH_BYTES = 8 << 20
 #: Distinct pieces whose ids a Python worker keeps for later batches.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 150_000
 KEPT_PIECE_BYTES = 24
 #: Pieces are joined up to this many bytes a text for the tokenizer.
 CALL_BYTES = 4096

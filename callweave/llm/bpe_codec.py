@@ -31,7 +31,7 @@ from callweave.llm.common import parallelism, slices
 
 LEAF_CHARS = 32_768
 WINDOW_CHARS = 64
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Tokens that a window and a side must share inside a run of letters.
 SHARED_TOKENS = 2
 

@@ -70,6 +70,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int):
         stop = min(max(stop, start + 1), batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()  # workers outlive stages, and would keep what their largest batch took
 
 
 def string_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> pa.Array:
