@@ -38,7 +38,7 @@ def decompose_complex(df: DataFrame) -> DataFrame:
 
 def p2phred(p: Column, cap: float = float("inf")) -> Column:
     """-10 log10 p, at most ``cap``; null outside [0, 1]."""
-    return F.when((p < 0) | (p > 1), None).when(p == 0, F.lit(cap)).when(p == 1, F.lit(0.0)).otherwise(F.least(-10 * F.log10(p), F.lit(cap)))
+    return F.when(p.isNull() | (p < 0) | (p > 1), None).when(p == 0, F.lit(cap)).when(p == 1, F.lit(0.0)).otherwise(F.least(-10 * F.log10(p), F.lit(cap)))
 
 
 def phred2p(q: Column) -> Column:

@@ -1,0 +1,84 @@
+"""Exact and rank tests as expressions and aggregations."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
+
+
+def fisher_exact(a: Column, b: Column, c: Column, d: Column, greater: bool = False) -> Column:
+    """P of the table [[a, b], [c, d]] with its margins: of tables no likelier, or of tables with at least ``a``.
+
+    One pass over the tables finds the largest log weight and that of the given table, a second one sums.
+    """
+    a, b, c, d = (x.cast("long") for x in (a, b, c, d))
+    row1, row2, col1 = a + b, c + d, a + c
+    first, last = F.greatest(F.lit(0).cast("long"), col1 - row2), F.least(row1, col1)
+
+    def following(w: Column, k: Column) -> Column:
+        step = ((row1 - k) * (col1 - k)).cast("double") / ((k + 1) * (row2 - col1 + k + 1)).cast("double")
+        return F.when(k < last, w + F.ln(step)).otherwise(w)
+
+    zero = F.lit(0.0)
+    seen = F.aggregate(F.sequence(first, last), F.struct(zero.alias("w"), zero.alias("top"), zero.alias("own")), lambda s, k: F.struct(
+        following(s["w"], k).alias("w"), F.greatest(s["top"], s["w"]).alias("top"), F.when(k == a, s["w"]).otherwise(s["own"]).alias("own")))
+    begin = F.struct(zero.alias("w"), zero.alias("all"), zero.alias("part"), seen["top"].alias("top"), seen["own"].alias("own"))
+
+    def add(s: Column, k: Column) -> Column:
+        mass = F.exp(s["w"] - s["top"])
+        counts = (k >= a) if greater else (s["w"] <= s["own"] + 1e-7)
+        return F.struct(following(s["w"], k).alias("w"), (s["all"] + mass).alias("all"), (s["part"] + F.when(counts, mass).otherwise(0.0)).alias("part"), s["top"].alias("top"), s["own"].alias("own"))
+
+    total = F.aggregate(F.sequence(first, last), begin, add)
+    return F.least(total["part"] / total["all"], F.lit(1.0))
+
+
+def rank_sums(rows: DataFrame, keys: list[str], value: str, is_alt: str) -> DataFrame:
+    """For each group: sizes of both sides, U of the alternative side, whether values repeat, and the normal score of U.
+
+    Values are first counted, so that ranks are windows over distinct values; null values don't count.
+    """
+    counts = rows.where(F.col(value).isNotNull() & F.col(is_alt).isNotNull()).groupBy(*keys, value).agg(F.count_if(F.col(is_alt)).alias("x"), F.count_if(~F.col(is_alt)).alias("y"))
+    before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = counts.withColumn("below", F.coalesce(F.sum("y").over(before), F.lit(0)))
+    t = (F.col("x") + F.col("y")).cast("double")
+    sums = below.groupBy(*keys).agg(F.sum("x").alias("n_alt"), F.sum("y").alias("n_ref"), F.sum(F.col("x") * (F.col("below") + F.col("y") / 2)).alias("u"), F.sum(t * t * t - t).alias("__ties"))
+    n, m = F.col("n_alt").cast("double"), F.col("n_ref").cast("double")
+    spread = F.sqrt(n * m / 12 * (n + m + 1 - F.try_divide(F.col("__ties"), (n + m) * (n + m - 1))))
+    score = F.try_divide(n * m / 2 - F.col("u") - 0.5, spread)
+    return sums.withColumns({"z": score, "tied": F.col("__ties") > 0}).drop("__ties")
+
+
+def _exact_less(n: int, m: int, u: int) -> float:
+    """P(U <= u) without ties: choices of n out of n + m by their sum, as products of Gaussian factors."""
+    ways = np.zeros(n * m + 1)
+    ways[0] = 1
+    for i in range(1, n + 1):
+        for s in range(m + i, n * m + 1)[::-1]:
+            ways[s] -= ways[s - m - i]
+        for s in range(i, n * m + 1):
+            ways[s] += ways[s - i]
+    return float(ways[: u + 1].sum() / math.comb(n + m, n))
+
+
+@F.pandas_udf(DoubleType())
+def _p_less(n: pd.Series, m: pd.Series, u: pd.Series, z: pd.Series, tied: pd.Series) -> pd.Series:
+    def one(n, m, u, z, tied):
+        if not n or not m:
+            return None
+        if min(n, m) <= 8 and not tied:
+            return _exact_less(min(n, m), max(n, m), int(u))
+        return 0.5 if z is None or math.isnan(z) else 0.5 * math.erfc(z / math.sqrt(2))
+
+    return pd.Series([one(*x) for x in zip(n, m, u, z, tied, strict=True)], dtype="float64")
+
+
+def mann_whitney_less(rows: DataFrame, keys: list[str], value: str, is_alt: str) -> DataFrame:
+    """``rank_sums`` with p, the probability of an alternative side this low; null if a side is empty."""
+    return rank_sums(rows, keys, value, is_alt).withColumn("p", _p_less("n_alt", "n_ref", "u", "z", "tied"))

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions import expressions as X
+from callweave.functions import tests_of_counts as T
 from callweave.operators import ensemble as E
 from callweave.operators import intervals as I
+from callweave.operators import pileup as P
 from callweave.operators import reads as R
+from callweave.operators import site_calls as S
+from callweave.operators import verdicts as V
 from callweave.plans.views import duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -269,3 +273,71 @@ def tally_samples(v):
 @query("select w.*, coalesce(c.filter, 'NONE') as filter from (select * from (select distinct chrom, pos, ref, alt from calls_v), (select distinct caller from calls_v)) w left join calls_v c on c.chrom = w.chrom and c.pos = w.pos and c.ref = w.ref and c.alt = w.alt and c.caller = w.caller")
 def fill_missing_samples(v):
     return E.fill_missing_samples(v("calls_v"), CALLERS)
+
+
+@query("""select o_orderkey as site, o_custkey % 7 + o_orderkey % 2 as ref_fwd, o_orderkey % 5 + case when o_orderkey % 4 = 0 then 1 else 0 end as ref_rev,
+ case when o_custkey % 3 = 0 then 2 else 0 end as alt_fwd, case when o_custkey % 3 = 0 then 0 else 1 end + o_custkey % 4 as alt_rev,
+ case when o_orderkey % 4 = 0 then 0 else 1 end as gaps, case when o_custkey % 3 = 0 then 1 else 0 end as n_insertions, case when o_orderkey % 4 = 0 then 1 else 0 end as n_deletions from orders""")
+def pileup_counts(v):
+    return P.base_counts(v("pileup_v")).select("site", "ref_fwd", "ref_rev", "alt_fwd", "alt_rev", "gaps", "n_insertions", "n_deletions")
+
+
+@query("""select o_orderkey as site, case when o_custkey % 3 = 0 then 1 else 0 end as g_fwd, case when o_custkey % 3 = 0 then 0 else 1 end as g_rev, case when o_custkey % 3 = 0 then 1 else 0 end as ins_fwd, 0 as ins_rev,
+ 0 as del_fwd, case when o_orderkey % 4 = 0 then 1 else 0 end as del_rev from orders""")
+def pileup_depth4(v):
+    p, out = v("pileup_v"), None
+    for name, ref, alt in (("g", "A", "G"), ("ins", "A", "AAC"), ("del", "ATTT", "A")):
+        p = P.depth4(p.withColumns({"ref": F.lit(ref), "alt": F.lit(alt)})).withColumnsRenamed({"dp_alt_fwd": f"{name}_fwd", "dp_alt_rev": f"{name}_rev"})
+        out = ["site", *[f"{n}_{s}" for n in ("g", "ins", "del") for s in ("fwd", "rev")]]
+    return p.select(*out)
+
+
+@query("""select site, case when filter in ('PASS', 'q1;PASS') then 1.0 else 0.0 end as pass_word, case when filter = 'PASS' then 1.0 else 0.0 end as pass_only, case when filter like '%PASS%' then 1.0 else 0.0 end as pass_within,
+ case when filter like '%PASS%' and info like 'SOMATIC%' then 1.0 else 0.0 end as somatic_and_pass, case when filter like '%PASS%' or info like 'SOMATIC%' then 1.0 else 0.0 end as somatic_or_pass, case when info like 'SOMATIC%' then 1.0 else 0.0 end as somatic_flag,
+ case filter when 'PASS' then 1.0 when 'Tier1' then 0.9 when 'Tier3' then 0.7 when 'Tier5' then 0.5 else 0.0 end as tiered, case when info like 'SOMATIC%' then case when filter = 'PASS' then 1.0 else 0.5 end else 0.0 end as somatic_half,
+ case when info like '%Somatic%' then case when filter = 'PASS' then 1.0 when filter = 'p8;NM4' then 0.0 else 0.5 end else 0.0 end as tolerated from records_v""")
+def caller_verdicts(v):
+    return V.with_verdicts(v("records_v"), list(V.VERDICTS)).select("site", *V.VERDICTS)
+
+
+@query("""select site, case ref when 'R' then 'N' when 'AM' then 'AN' else ref end as ref, alt, case when id like '%rs5%' then 'rs5' when id like '%rs9%' then 'rs9' else '' end as rs, case when id like '%COSM7%' then 'COSM7' when id like '%COSV8%' then 'COSV8' else '' end as cos
+ from records_v where not (alt = '<DEL>' and info not like '%END=%')""")
+def clean_records(v):
+    ids = {k: F.concat_ws(",", c) for k, c in V.common_ids().items()}
+    return V.drop_endless_symbolic(v("records_v")).select("site", V.mask_bases("ref").alias("ref"), "alt", ids["rs_ids"].alias("rs"), ids["cos_ids"].alias("cos"))
+
+
+@query("""with t as (select read_id, read_id % 7 as a, read_id % 5 as b, read_id % 3 as c, read_id % 11 as d from reads_v),
+ k as (select *, unnest(range(greatest(0, a + c - c - d), least(a + b, a + c) + 1)) as k from t),
+ p as (select *, exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1)) as p from k),
+ o as (select *, max(case when k = a then p end) over (partition by read_id) as own from p)
+ select read_id, round(least(1.0, sum(case when p <= own * (1 + 1e-7) then p else 0 end)), 9) as two_sided, round(least(1.0, sum(case when k >= a then p else 0 end)), 9) as greater from o group by read_id""")
+def fisher_strand(v):
+    i = F.col("read_id")
+    cells = (i % 7, i % 5, i % 3, i % 11)
+    return v("reads_v").select("read_id", F.round(T.fisher_exact(*cells), 9).alias("two_sided"), F.round(T.fisher_exact(*cells, greater=True), 9).alias("greater"))
+
+
+@query("""with c as (select chrom, mapq, sum(case when is_reverse then 1 else 0 end) as x, sum(case when is_reverse then 0 else 1 end) as y from reads_v group by chrom, mapq),
+ b as (select *, coalesce(sum(y) over (partition by chrom order by mapq rows between unbounded preceding and 1 preceding), 0) as below from c),
+ s as (select chrom, cast(sum(x) as double) as n, cast(sum(y) as double) as m, sum(x * (below + y / 2.0)) as u, sum(pow(x + y, 3) - (x + y)) as t from b group by chrom)
+ select chrom, cast(n as bigint) as n_alt, cast(m as bigint) as n_ref, cast(u as double) as u, round((n * m / 2 - u - 0.5) / sqrt(n * m / 12 * (n + m + 1 - t / ((n + m) * (n + m - 1)))), 6) as z from s""")
+def rank_sum_scores(v):
+    return T.rank_sums(v("reads_v"), ["chrom"], "mapq", "is_reverse").select("chrom", "n_alt", "n_ref", F.col("u").cast("double").alias("u"), F.round("z", 6).alias("z"))
+
+
+@query("""with b(cigar, s, n, q, kind, len) as (values ('100M',0,100,0,'end',null), ('40M2I58M',0,40,0,'insertion',2), ('40M2I58M',40,58,42,'end',null), ('50M3D50M',0,50,0,'deletion',-3), ('50M3D50M',50,3,null,'gap',null), ('50M3D50M',53,50,50,'end',null),
+  ('5S95M',0,95,5,'end',null), ('90M10S',0,90,0,'insertion',10), ('30M1D70M',0,30,0,'deletion',-1), ('30M1D70M',30,1,null,'gap',null), ('30M1D70M',31,70,30,'end',null)),
+ s as (select distinct chrom, pos from truth_v)
+ select read_id, s.chrom, s.pos, case when kind = 'gap' then 'unknown' when pos - 1 < start0 + b.s + n - 1 or kind = 'end' then 'match' else kind end as kind,
+  cast(case when kind = 'gap' then null when pos - 1 < start0 + b.s + n - 1 then 0 else len end as bigint) as indel_length, cast(case when kind <> 'gap' then q + pos - 1 - start0 - b.s end as bigint) as read_offset
+ from reads_v r join b on b.cigar = r.cigar join s on s.chrom = r.chrom and start0 + b.s < pos and pos <= start0 + b.s + n""")
+def read_site_calls(v):
+    sites = v("truth_v").select("chrom", "pos").distinct()
+    return S.site_calls(v("reads_v"), sites).select("read_id", "chrom", "pos", "kind", "indel_length", "read_offset")
+
+
+@query("""select 'truth' as side, count(*) as total, count(*) filter (where exists (select 1 from calls_v c where c.chrom = t.chrom and c.pos = t.pos and c.filter = 'PASS')) as recovered from truth_v t""")
+def truth_recovery(v):
+    passed = v("calls_v").where("filter = 'PASS'").select("chrom", "pos").distinct().withColumn("__hit", F.lit(True))
+    return v("truth_v").join(passed, ["chrom", "pos"], "left").agg(F.lit("truth").alias("side"), F.count("*").alias("total"), F.count("__hit").alias("recovered")).select("side", "total", "recovered")

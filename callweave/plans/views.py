@@ -31,6 +31,18 @@ VIEWS = {
                cast(event_id % 61 as int) as mapq, event_id % 2 = 1 as is_reverse, event_id % 17 = 0 as is_duplicate,
                event_id % 9 <> 0 as is_proper_pair, cast(event_id % 5 as int) as nm
         from events""",
+    "pileup_v": """
+        select o_orderkey as site, concat('chr', cast(o_custkey % 5 + 1 as string)) as chrom, 'A' as ref,
+               concat(repeat('.', cast(o_custkey % 7 as int)), repeat(',', cast(o_orderkey % 5 as int)), repeat('^+.', cast(o_orderkey % 2 as int)),
+                      case when o_custkey % 3 = 0 then 'G+2ACT' else 'g$' end, repeat('t', cast(o_custkey % 4 as int)),
+                      case when o_orderkey % 4 = 0 then ',-3ttt' else '*' end) as bases
+        from orders""",
+    "records_v": """
+        select o_orderkey as site, case o_custkey % 6 when 0 then 'R' when 1 then 'AM' else 'C' end as ref, case o_orderkey % 5 when 0 then '<DEL>' else 'T' end as alt,
+               case o_custkey % 7 when 0 then 'PASS' when 1 then 'Tier1' when 2 then 'Tier3' when 3 then 'Tier5' when 4 then 'REJECT' when 5 then 'p8;NM4' else 'q1;PASS' end as filter,
+               case o_orderkey % 4 when 0 then 'SOMATIC;TLOD=1.5' when 1 then 'STATUS=LikelySomatic;DP=8' when 2 then 'DP=3;END=9' else '.' end as info,
+               case o_custkey % 4 when 0 then 'rs5,COSM7' when 1 then 'COSV8;rs9;x' when 2 then '.' else 'rsx' end as id
+        from orders""",
     "sequences_v": "select doc_id, upper(regexp_replace(text, '[^ACGTacgt]', 'A')) as seq0 from documents",
 }
 TABLES = ("orders", "lineitem", "part", "events", "customer", "documents")
