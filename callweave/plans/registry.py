@@ -123,13 +123,13 @@ def merge_intervals(v):
 
 
 @query(f"""with m as ({MERGED.format(by='label, ')}),
- e as (select chrom, start0 as p from m union select chrom, end0 from m union select distinct chrom, 0 from m union select distinct chrom, 20600 from m),
+ e as (select chrom, start0 as p from m union select chrom, end0 from m union select distinct chrom, 0 from m union select chrom, max(end0) + 151 from m group by chrom),
  s as (select chrom, p as start0, lead(p) over (partition by chrom order by p) as end0 from e)
  select s.chrom, s.start0, s.end0, count(m.label) as n_sets, coalesce(string_agg(m.label, ',' order by m.label), '.') as labels
  from s left join m on m.chrom = s.chrom and m.start0 < s.end0 and s.start0 < m.end0 where s.end0 is not null group by s.chrom, s.start0, s.end0""")
 def count_loci_labels(v):
     r = v("regions_v")
-    return I.count_loci(r, r.select("chrom").distinct().withColumn("size", F.lit(20600).cast("long")))
+    return I.count_loci(r, r.groupBy("chrom").agg((F.max("end0") + 151).alias("size")))
 
 
 @query(f"""with m as ({MERGED.format(by='')}), o as (select *, sum(end0 - start0) over (order by chrom, start0, end0) - (end0 - start0) as off, cast(ceil(sum(end0 - start0) over () / 7.0) as bigint) as per from m)

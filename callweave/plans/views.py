@@ -9,8 +9,8 @@ BASE = "substr('ACGT', cast((({pos})*7919 + ({c})*104729) % 10007 as int) % 4 +
 VIEWS = {
     "regions_v": """
         select o_orderstatus as label, concat('chr', cast(o_custkey % 5 + 1 as string)) as chrom,
-               (o_orderkey*37) % 20000 as start0, (o_orderkey*37) % 20000 + 50 + o_custkey % 400 as end0
-        from orders where o_orderkey % 40 = 0""",
+               o_orderkey*61 as start0, o_orderkey*61 + 50 + o_custkey % 400 as end0
+        from orders""",
     "calls_v": f"""
         select caller, concat('chr', cast(c as string)) as chrom, pos, {BASE.format(pos='pos', c='c')} as ref,
                substr('ACGT', (cast((pos*7919 + c*104729) % 10007 as int) % 4 + 1 + cast(k as int)) % 4 + 1, 1) as alt,
