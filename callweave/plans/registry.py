@@ -194,11 +194,10 @@ def reverse_complement(v):
     return v("sequences_v").select("doc_id", X.reverse_complement("seq0").alias("rc"))
 
 
-@query(f"""select doc_id, w, max(n) as longest, count(*) as runs from (select doc_id, w, g, count(*) as n from (select doc_id, w, i, sum(case when i > 1 and substr(seq, i, 1) = substr(seq, i - 1, 1) then 0 else 1 end) over (partition by doc_id, w order by i) as g
- from (select doc_id, w, seq, unnest(range(1, length(seq) + 1)) as i from {SEQ})) group by doc_id, w, g) group by doc_id, w""")
+@query("select doc_id, list_max(list_transform(r, lambda x: length(x))) as longest, cast(len(r) as bigint) as runs from (select doc_id, regexp_extract_all(seq0, 'A+|C+|G+|T+') as r from sequences_v)")
 def run_lengths(v):
-    runs = _windows(v).select("doc_id", "w", X.run_lengths("seq").alias("r"))
-    return runs.select("doc_id", "w", F.array_max("r").cast("long").alias("longest"), F.size("r").cast("long").alias("runs"))
+    runs = v("sequences_v").select("doc_id", X.run_lengths("seq0").alias("r"))
+    return runs.select("doc_id", F.array_max("r").cast("long").alias("longest"), F.size("r").cast("long").alias("runs"))
 
 
 @query(f"""select doc_id, w, round(k / m, 9) as complexity from (select doc_id, w, any_value(m) as m, count(distinct substr(seq, i, z)) as k from (select *, unnest(range(1, length(seq) - z + 2)) as i from
