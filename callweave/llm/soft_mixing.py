@@ -2,11 +2,16 @@
 
 Domains are named by a labelled table.  A naive Bayes classifier over binned character and word shares and over
 the presence of telling words is fitted on ``MAX_TRAIN_DOCS`` labelled documents at most (smallest hash of the
-id); it gives every document a posterior for each domain.  Nonnegative rates of the documents are then found
-by projected gradient descent on the squared differences between the expected tokens of each domain,
-sum(rate * tokens * posterior), and its target.  The gradient is scaled by the domains' token totals, for which
-steps of 1 are stable.  Each step needs one sum for each domain; the rates themselves are an expression of the
-posteriors and the steps so far, so no state is joined.
+id); it gives every document a posterior for each domain.  Nonnegative rates of the documents are then those of least
+squared differences between the expected tokens of each domain, sum(rate * tokens * posterior), and its target,
+scaled by the domains' token totals: an implicit projected gradient step of length 1 / ``NEARNESS`` from rates of 1,
+so of all rates that meet the targets those nearest to 1.  At its end every rate is 1 less the posterior-weighted
+gradient, projected to [0, infinity); the one number for each domain in it is found by Newton steps, each a pass that sums up
+``TRIALS`` step lengths at once.
+
+The steps end when every domain is within ``TOLERANCE`` of its target, or at the optimum: when rates and gradient agree to
+``OPTIMAL`` of the targets' tokens.  Rates have no upper bound unless the caller gives ``max_rate``.  Targets and
+reached totals are logged for each domain, unmet ones as warnings.
 
 Targets are the weights times a total, by default the total at which the heaviest domain is used as it is.
 A document is repeated floor(rate) times, and once more with probability frac(rate), by a hash of its id and text.
@@ -19,9 +24,11 @@ empty table; other columns are ignored by ``soft_mixture`` and kept by ``mix``.
 
 from __future__ import annotations
 
+import logging
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +36,16 @@ from callweave.llm.common import bounded, cut_lineage
 
 MAX_TRAIN_DOCS = 6000
 TELLING_WORDS = 48
-MAX_STEPS = 30
+#: Share of a domain's target by which its total may differ; of all targets, where the domain's own is 0.
 TOLERANCE = 0.002
-MAX_RATE = 4.0
+#: Weight of the rates' squared distance from 1, beside the squared differences from the targets.
+NEARNESS = 1e-6
+#: Tokens by which rates and gradient may disagree at the optimum, as a share of all targets.
+OPTIMAL = 1e-6
+#: Lengths of a Newton step that are tried in one pass.
+TRIALS = (1.0, 0.5, 0.25, 1 / 16, 1 / 256, 1 / 65536)
+#: Against steps without end only; ending by it is a warning.
+MAX_STEPS = 200
 #: Where the bins of the shares begin.
 UPPER_BINS = (0.0, 0.02, 0.04, 0.07, 0.12, 0.25, 0.5)
 SYMBOL_BINS = (0.0, 0.001, 0.005, 0.02, 0.05, 0.1)
@@ -120,64 +134,98 @@ class DomainClassifier:
         return rows.withColumn("__p", F.transform("__raised", lambda x: x / F.col("__sum")))
 
 
-def rate_of(posteriors: Column, steps: list[list[float]]) -> Column:
-    """The rate after all steps, from 1: each takes off the posterior-weighted step and projects to [0, MAX_RATE]."""
-    if not steps:
-        return F.lit(1.0)
+log = logging.getLogger(__name__)
+
+
+def _less(posteriors: Column, by: list[float]) -> Column:
+    """1 less the posterior-weighted sum of ``by``."""
+    return F.lit(1.0) - F.aggregate(F.zip_with(posteriors, F.array(*[F.lit(float(x)) for x in by]), lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
 
-    def move(rate: Column, step: Column) -> Column:
-        down = F.aggregate(F.zip_with(posteriors, step, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
-        return F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), rate - down))
 
-    return F.aggregate(F.array(*[F.array(*[F.lit(float(g)) for g in s]) for s in steps]), F.lit(1.0), move)
+def _projected(rate: Column, max_rate: float | None) -> Column:
+    rate = F.greatest(F.lit(0.0), rate)
+    return rate if max_rate is None else F.least(F.lit(float(max_rate)), rate)
 
 
-def solve(rows: DataFrame, domains: tuple[str, ...], weights: dict[str, float], total: float | None = None) -> list[list[float]]:
-    """Steps of the projected gradient descent over rows with ``tokens`` and ``p``."""
-    def sums(rate: Column) -> list[float]:
-        got = rows.agg(*[F.sum(rate * F.col("tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(len(domains))]).first()
-        return [float(x or 0) for x in got]
+def solve(rows: DataFrame, domains: tuple[str, ...], weights: dict[str, float], total: float | None = None, max_rate: float | None = None) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """Rows with ``tokens`` and ``p``: with the rate of each; target and reached total by domain."""
+    k, mass = range(len(domains)), F.col("tokens")
 
-    have = sums(F.lit(1.0))
+    def measured(points: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """At each point: the totals by domain, second moments of rows within the bounds, and the integral of the rates."""
+        tried = rows.withColumns({f"x{t}": _less(F.col("p"), point.tolist()) for t, point in enumerate(points)})
+        each = []
+        for t in range(len(points)):
+            x, rate = F.col(f"x{t}"), _projected(F.col(f"x{t}"), max_rate)
+            free = (x > 0) if max_rate is None else (x > 0) & (x < max_rate)
+            each += [F.sum(rate * mass * F.col("p")[i]).alias(f"s{t}_{i}") for i in k]
+            each += [F.sum(F.when(free, mass * F.col("p")[i] * F.col("p")[j])).alias(f"m{t}_{i}_{j}") for i in k for j in k if i <= j]
+            each.append(F.sum(mass * (rate * x - rate * rate / 2)).alias(f"g{t}"))
+        got = {n: float(v or 0) for n, v in tried.agg(*each).first().asDict().items()}
+        return [(np.array([got[f"s{t}_{i}"] for i in k]), np.array([[got[f"m{t}_{min(i, j)}_{max(i, j)}"] for j in k] for i in k]), got[f"g{t}"]) for t in range(len(points))]
+
+    at = np.zeros(len(domains))
+    have = np.array([float(x or 0) for x in rows.agg(*[F.sum(mass * F.col("p")[i]) for i in k]).first()])
     scale = sum(weights.get(d, 0) for d in domains) or 1.0
     share = [weights.get(d, 0) / scale for d in domains]
-    heavy = max(range(len(domains)), key=lambda i: share[i])
-    target = [s * (total if total is not None else have[heavy] / share[heavy] if share[heavy] else 0) for s in share]
-    steps: list[list[float]] = []
-    now, before = have, 0.0
-    for _ in range(MAX_STEPS):
-        off = sum(abs(a - t) for a, t in zip(now, target, strict=True))
-        if off <= TOLERANCE * sum(target) or steps and off > 0.98 * before:  # near enough, or at rest on the bounds
+    heavy = max(k, key=lambda i: share[i])
+    target = np.array([s * (total if total is not None else have[heavy] / share[heavy] if share[heavy] else 0) for s in share])
+    near = TOLERANCE * np.where(target > 0, target, target.sum())
+    there = have > 0
+    pull = NEARNESS * np.where(there, have, 1.0)
+
+    def height(point: np.ndarray, integral: float) -> float:
+        return float((pull * point**2).sum() / 2 + np.where(there, target, 0) @ point + integral)
+
+    (now, moments, integral), optimal = measured([at])[0], False
+    length = 1.0
+    for n in range(MAX_STEPS + 1):
+        slope = np.where(there, pull * at + target - now, 0.0)
+        optimal = bool(np.all(np.abs(now - target)[there] <= near[there]) or np.abs(slope).max() <= OPTIMAL * target.sum())
+        if optimal or n == MAX_STEPS:
             break
-        before = off
-        steps.append([(a - t) / h if h else 0.0 for a, t, h in zip(now, target, have, strict=True)])
-        now = sums(rate_of(F.col("p"), steps))
-    return steps
-
-
-def _rated(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None, id_col: str, text_col: str) -> tuple[DataFrame, tuple[str, ...]]:
+        step = np.linalg.solve(moments + np.diag(pull), slope)
+        points = [at - length * t * step for t in TRIALS]
+        got = measured(points)
+        heights = [height(x, g[2]) for x, g in zip(points, got, strict=True)]
+        best = int(np.argmin(heights))
+        if heights[best] >= height(at, integral):
+            if np.abs(length * TRIALS[-1] * step).max() <= 1e-14 * max(1.0, np.abs(at).max()):  # as near as numbers tell
+                optimal = True
+                break
+            length *= TRIALS[-1]
+            continue
+        length = 1.0
+        at, (now, moments, integral) = points[best], got[best]
+    for i, d in enumerate(domains):
+        log.log(logging.INFO if abs(now[i] - target[i]) <= near[i] else logging.WARNING, "domain %s: target %.0f tokens, reached %.0f", d, target[i], now[i])
+    if not optimal:
+        log.warning("rates are those after %d steps, before their optimum", MAX_STEPS)
+    return rows.withColumn("rate", _projected(_less(F.col("p"), at.tolist()), max_rate)), {d: (float(target[i]), float(now[i])) for i, d in enumerate(domains)}
+
+
+def _rated(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None, id_col: str, text_col: str, max_rate: float | None) -> tuple[DataFrame, tuple[str, ...]]:
     """id, key (a hash of the text), tokens, p, rate and copies of every document, from a checkpoint; the domains."""
     classifier = DomainClassifier(docs, labels, id_col=id_col, text_col=text_col)
     rows = with_features(docs.select(F.col(id_col).alias("id"), F.col(text_col)), text_col)
     key = F.xxhash64("id", text_col).alias("key")
     rows = classifier.with_posteriors(rows, weights)
     rows = cut_lineage(rows.select("id", key, F.col("__tokens").alias("tokens"), F.col("__p").alias("p")))
-    steps = solve(rows, classifier.domains, weights, total)
-    rated = rows.withColumn("rate", rate_of(F.col("p"), steps))
+    rated, _ = solve(rows, classifier.domains, weights, total, max_rate)
     chance = F.pmod("key", F.lit(1 << 20)) / (1 << 20)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     return rated.withColumn("copies", copies), classifier.domains
 
 
-def soft_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def soft_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, id_col: str = "doc_id", text_col: str = "text", max_rate: float | None = None) -> DataFrame:
     """``id_col``, n_tokens, the posteriors p_<domain>, rate and copies for every document."""
-    rated, domains = _rated(docs, labels, weights or WEIGHTS, total, id_col, text_col)
+    rated, domains = _rated(docs, labels, weights or WEIGHTS, total, id_col, text_col, max_rate)
     return rated.select(F.col("id").alias(id_col), F.col("tokens").alias("n_tokens"), *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", "copies")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, id_col: str = "doc_id", text_col: str = "text", max_rate: float | None = None) -> DataFrame:
     """``docs`` with each row as often as its rate says, and its columns only."""
-    rated, _ = _rated(docs, labels, weights or WEIGHTS, total, id_col, text_col)
+    rated, _ = _rated(docs, labels, weights or WEIGHTS, total, id_col, text_col, max_rate)
     wanted = rated.select(F.col("key").alias("__key"), F.col("copies").alias("__copies")).where("__copies > 0").dropDuplicates(["__key"])
     wanted = cut_lineage(wanted)
     repeated = docs.withColumn("__key", F.xxhash64(id_col, text_col)).join(bounded(wanted), "__key").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
