@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-Lines of at least ``min_chars`` characters (blanks at the ends aside) are compared over all documents.  A line
+All lines with a visible character are compared over all documents, blanks at the ends aside.  A line
 goes if an equal line, or one within one edit (a character inserted, deleted or replaced), stands earlier:
-in a document with a smaller id, or further up in the same document.
+in a document with a smaller id, or further up in the same document.  Within one edit only lines of at least
+``min_chars`` characters are alike: shorter ones that differ by one character ("Page 1", "Page 2") mostly say different things.
 
 Lines within one edit have a common variant: both with the same character left out, or one with a
 character left out and the other whole.  Emitting a hash for each left-out character of each line would
@@ -33,11 +34,11 @@ def _order(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(text_col)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each compared line: where it is (doc, version, pos), its text and its key (h1, h2)."""
     doc, version = _order(id_col, text_col)
     rows = docs.where(F.col(text_col).isNotNull()).select(doc.alias("doc"), version.alias("version"), F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
-    rows = rows.select("doc", "version", "pos", F.trim("raw").alias("line")).where(F.length("line") >= min_chars)
+    rows = rows.select("doc", "version", "pos", F.trim("raw").alias("line")).where(F.col("line").rlike(r"\S"))
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), F.col("line"))})
 
 
@@ -67,7 +68,7 @@ VARIANTS = """
 
 
 def _near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
-    """h1, h2 of the distinct lines that have an earlier one within one edit."""
+    """h1, h2 of the distinct lines that have an earlier one within one edit; lines without halves take no part."""
     halves = distinct.select("h1", "h2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
     found = cut_lineage(halves.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.lit(1).alias("one")).drop("one"))
@@ -95,8 +96,8 @@ def _near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """doc, version and pos of every line that goes."""
-    lines = _lines(docs, id_col, text_col, min_chars)
-    keyed = lines.withColumn("n", F.length("line")).select("doc", "version", "pos", "h1", "h2", F.expr(HALVES).alias("halves"))
+    lines = _lines(docs, id_col, text_col)
+    keyed = lines.withColumn("n", F.length("line")).select("doc", "version", "pos", "h1", "h2", F.when(F.col("n") >= min_chars, F.expr(HALVES)).alias("halves"))
     distinct = cut_lineage(keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc", "version", "pos")).alias("first"), F.count("*").alias("copies"), F.first("halves").alias("halves")))
     near = _near_lines(lines, distinct).withColumn("near", F.lit(True))
     concerned = distinct.join(near, ["h1", "h2"], "left").where("near or copies > 1").select("h1", "h2", "first", "near")
