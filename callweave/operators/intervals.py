@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 #: Width of the bins in which overlaps are looked for.
 BIN = 1024
+#: Width of the bins in which intervals are merged first.
+MERGE_BIN = 1 << 16
 
 
 def _binned(df: DataFrame, start: Column, end: Column, width: int) -> DataFrame:
@@ -66,13 +68,35 @@ def in_region(positions: DataFrame, regions: DataFrame, width: int = BIN) -> Dat
     return positions.join(hit, ["chrom", "pos"], "left").withColumn("in_region", F.coalesce("__in", F.lit(False))).drop("__in")
 
 
-def merge_intervals(regions: DataFrame, by: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """Overlapping or touching intervals as one, within each value of ``by``."""
-    order = Window.partitionBy(*by).orderBy("start0", "end0")
+def _islands(regions: DataFrame, within: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """Overlapping or touching intervals as one, as far as a window over ``within`` shows them; columns ``by``, start0, end0."""
+    order = Window.partitionBy(*within).orderBy("start0", "end0")
     before = F.max("end0").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = regions.withColumn("__new", F.coalesce((F.col("start0") > before).cast("int"), F.lit(1)))
     islands = marked.withColumn("__island", F.sum("__new").over(order))
-    return islands.groupBy(*by, "__island").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0")).drop("__island")
+    return islands.groupBy(*within, "__island").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0")).select(*dict.fromkeys([*by, *within]), "start0", "end0")
+
+
+def merge_intervals(regions: DataFrame, by: tuple[str, ...] = ("chrom",), width: int = MERGE_BIN) -> DataFrame:
+    """Overlapping or touching intervals as one, within each value of ``by``.
+
+    Rows are merged inside the bin of their start first.  How far earlier bins reach is a running maximum over one row for
+    each bin; an island up to that reach, or the last of its bin that reaches the next bin with rows, is
+    joined with others in a second merge, which sees those islands alone.
+    """
+    binned = regions.withColumn("__bin", F.floor(F.col("start0") / width))
+    inner = _islands(binned, (*by, "__bin"), by)
+    bins = inner.groupBy(*by, "__bin").agg(F.min("start0").alias("__first"), F.max("end0").alias("__last"))
+    line = Window.partitionBy(*by).orderBy("__bin")
+    reach = F.max("__last").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    bins = bins.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__bin").alias("__of"), reach.alias("__reach"), F.lead("__first").over(line).alias("__next"))
+    same = F.col("__bin").eqNullSafe(F.col("__of"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    crosses = F.coalesce(F.col("start0") <= F.col("__reach"), F.lit(False)) | F.coalesce(F.col("end0") >= F.col("__next"), F.lit(False))
+    placed = inner.join(bins, same).select(*by, "start0", "end0", crosses.alias("__crosses"))
+    joined = _islands(placed.where("__crosses").select(*by, "start0", "end0"), by, by)
+    return placed.where("not __crosses").select(*by, "start0", "end0").unionByName(joined)
 
 
 def count_loci(regions: DataFrame, contigs: DataFrame) -> DataFrame:
