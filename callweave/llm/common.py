@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
         if not current:
             spark.sparkContext.setCheckpointDir(named)
         return (named or current).rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -32,21 +37,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 300_000
 
 
-def bounded(side: DataFrame) -> DataFrame:
-    """A checkpointed side, for broadcast if it has up to ``BROADCAST_ROWS`` rows; else the join shuffles."""
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+def bounded(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A checkpointed side, for broadcast if it has up to ``rows`` rows; else the join shuffles."""
+    return F.broadcast(side) if side.count() <= rows else side
 
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hash128(column: Column | str) -> Column:
-    """A struct of two independent 64-bit hashes, as a key for equal texts."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.struct(F.xxhash64(c).alias("h1"), F.xxhash64(F.lit("second"), c).alias("h2"))
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in a row, and the offsets of the texts (nulls: empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -70,10 +69,35 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int):
         stop = min(max(stop, start + 1), batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
-    pa.default_memory_pool().release_unused()  # workers outlive stages, and would keep what their largest batch took
 
 
-def string_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> pa.Array:
+def give_back() -> None:
+    """Return free memory to the system: workers outlive stages, and would keep what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]]):
+    """An Arrow function that gives memory back after each of its input batches and at its end."""
+
+    def each(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    def wrapped(batches: Iterable[pa.RecordBatch]):
+        yield from run(each(batches))
+        gc.collect()
+        give_back()
+
+    return wrapped
+
+
+def string_array(data: np.ndarray, starts: np.ndarray) -> pa.Array:
     """Texts over adjacent ranges of ``data``: ``starts`` holds one more offset than texts."""
     offsets = np.ascontiguousarray(starts, np.int32)
     return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))

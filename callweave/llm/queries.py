@@ -59,7 +59,7 @@ def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     model = line_crf.train(docs, _table(spark, sf_dir, "labels"))
-    return line_crf.score(docs, model).withColumn("held_out", line_crf.fold("doc_id") == 0)
+    return line_crf.score(docs, model).withColumn("held_out", F.coalesce(line_crf.fold("doc_id") == 0, F.lit(False)))
 
 
 def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

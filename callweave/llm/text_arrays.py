@@ -45,7 +45,7 @@ class TextArrays:
     @staticmethod
     def running(flags: np.ndarray) -> np.ndarray:
         """How many flags are set before each position."""
-        out = np.zeros(len(flags) + 1, np.int64)
+        out = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 31 else np.int64)
         np.cumsum(flags, out=out[1:])
         return out
 
