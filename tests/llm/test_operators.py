@@ -76,7 +76,9 @@ def test_near_duplicates(spark, texts, words):
     assert chosen_path.near_duplicates(frame(spark, texts).limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 100_000])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
     r = random.Random(2)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(50)]
     root = list(range(60))
@@ -173,14 +175,51 @@ def test_shards(spark, texts):
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert {r.shard for r in got} == {0, 1, 2}
-    runs = shards.pack([(10, 3), (6, 2), (4, 5)], 20)
-    load: dict = {}
-    for c, a, b, s in runs:
-        load[s] = load.get(s, 0) + (b - a) * [10, 6, 4][c]
-    assert load == {0: 20, 1: 20, 2: 20, 3: 2} or sum(load.values()) == 62 and max(load.values()) <= 20
     assert shards.shard(docs.limit(0), 3).count() == 0
 
 
+def best_fit(classes, capacity):
+    """Groups one by one into the tightest bin: what is left of each bin."""
+    rooms = []
+    for size in [s for s, n in sorted(classes, reverse=True) for _ in range(n)]:
+        fits = [(room, i) for i, room in enumerate(rooms) if room >= size]
+        if fits:
+            rooms[min(fits)[1]] -= size
+        else:
+            rooms.append(max(capacity, size) - size)
+    return sorted(rooms)
+
+
+def test_packing():
+    r = random.Random(1)
+    for _ in range(500):
+        classes = [(s, r.randint(1, 30)) for s in r.sample(range(1, 60), r.randint(1, 12))]
+        capacity = r.randint(20, 120)
+        runs, bins = shards.pack(classes, capacity)
+        load, ranks = [0] * bins, [0] * len(classes)
+        for x in runs:
+            assert x.start == ranks[x.index]
+            ranks[x.index] = x.stop
+            for k in range(x.start, x.stop):
+                load[x.first + (k - x.start) // x.each] += classes[x.index][0]
+        assert ranks == [n for _, n in classes]
+        assert sorted(max(capacity, n) - n for n in load) == best_fit(classes, capacity)
+
+
+def test_capacity(spark):
+    """No shard holds more than the capacity, but for one group that is larger; equal texts stay together."""
+    r = random.Random(2)
+    texts = [x for i in range(60) for x in ["y" * r.randint(4000, 9000) + str(i)] * r.randint(1, 3)] + ["z" * 30_000] * 2 + [None, None, ""]
+    got = shards.shard(frame(spark, texts), capacity=40_000).collect()
+    size, where = {}, {}
+    for x in got:
+        size[x.shard] = size.get(x.shard, 0) + x.size
+        where.setdefault(texts[x.doc_id] or "", set()).add(x.shard)
+    assert len(got) == len(texts) and all(len(s) == 1 for s in where.values())
+    assert sorted(size)[-1] == len(size) - 1 and sum(v > 40_000 for v in size.values()) == 1 and max(size.values()) == 60_002
+    assert len(size) <= sum(size.values()) // 40_000 + 3
+
+
 def test_mixing(spark):
     r = random.Random(4)
     rows = [("good", prose(r, 80)) for _ in range(120)] + [("toxic", prose(r, 76) + " idiot scum moron trash") for _ in range(60)] + [("low", "SHOUT## " * 40) for _ in range(60)]
