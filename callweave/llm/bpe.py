@@ -8,7 +8,9 @@ encodes only its distinct pieces and gathers the ids of the texts from them.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,25 @@ KEPT_PIECE_BYTES = 24
 CALL_BYTES = 4096
 
 
+def _check(described: dict, path: str) -> None:
+    """Cutting at blanks is exact for one kind of tokenizer only; any other is refused."""
+    cuts = described.get("pre_tokenizer") or {}
+    added = [t["content"] for t in described.get("added_tokens") or []]
+    fits = (described.get("model") or {}).get("type") == "BPE" and described.get("normalizer") is None
+    fits = fits and cuts.get("type") == "ByteLevel" and not cuts.get("add_prefix_space", True) and cuts.get("use_regex", True)
+    blank = [t for t in added if any(c.isspace() for c in t) or not re.fullmatch(r"<\|\w+\|>", t)]
+    odd = [t for t in described.get("added_tokens") or [] if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    if not fits or blank or odd:
+        raise ValueError(f"{path} is no plain byte-level BPE with special tokens of the form <|name|>")
+
+
 def tokenizer(path: str):
     """The tokenizer of a file, without truncation and padding; one thread, as Spark has the cores."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    with open(path, encoding="utf-8") as file:
+        _check(json.load(file), path)
     made = Tokenizer.from_file(path)
     made.no_truncation()
     made.no_padding()
@@ -39,15 +55,21 @@ def tokenizer(path: str):
 def safe_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Positions where a piece may start: each text's start, and blanks after a visible character.
 
-    The character before the blank is printable ASCII or a letter of the range U+00C0..U+00FF;
-    after other characters nothing is cut, which is exact as well.
+    The character before the blank is printable ASCII or one of several bytes that is no white space: all are but
+    those that start with C2, E1 9A, E2 80, E2 81 or E3 80, where Unicode has spaces; after these nothing is
+    cut, which is exact as well.
     """
     flag = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
-        before = data[:-1]
+        blank = np.flatnonzero((data[1:] == 0x20) | (data[1:] == 0x0A)) + 1
+        before = data[blank - 1]
+        second, third = data[np.maximum(blank - 2, 0)], data[np.maximum(blank - 3, 0)]
         visible = (before >= 0x21) & (before <= 0x7E)
-        visible[1:] |= (before[1:] >= 0x80) & (before[1:] <= 0xBF) & (data[:-2] == 0xC3)
-        flag[1:-1] = ((data[1:] == 0x20) | (data[1:] == 0x0A)) & visible
+        two = (second >= 0xC3) & (second <= 0xDF)
+        spaced = ((third == 0xE1) & (second == 0x9A)) | ((third == 0xE2) & ((second == 0x80) | (second == 0x81))) | ((third == 0xE3) & (second == 0x80))
+        three = (second >= 0x80) & (second <= 0xBF) & (((third >= 0xE0) & (third <= 0xEF)) & ~spaced | ((third >= 0x80) & (third <= 0xBF)))
+        visible |= (before >= 0x80) & (before <= 0xBF) & (two | three)
+        flag[blank[visible]] = True
     flag[offsets[:-1]] = True
     flag[len(data)] = False
     return np.flatnonzero(flag)

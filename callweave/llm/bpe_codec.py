@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.bpe import PieceEncoder
-from callweave.llm.common import parallelism, slices
+from callweave.llm.common import parallelism, slices, tidy
 
 LEAF_CHARS = 32_768
 WINDOW_CHARS = 64
@@ -202,10 +202,10 @@ def encode_decode(
         return pa.Table.from_batches([batch(table["id"].slice(0, 1).combine_chunks(), encoder, [ids])])
 
     long = F.length("text") > leaf_chars
-    spread = rows.where(long).mapInArrow(leaves, f"row long, id {id_type}, leaf int, text string").repartition(parallelism(docs.sparkSession), "row", "leaf")
-    encoded = spread.mapInArrow(encode_leaves, f"row long, id {id_type}, leaf int, text string, ids binary")
+    spread = rows.where(long).mapInArrow(tidy(leaves), f"row long, id {id_type}, leaf int, text string").repartition(parallelism(docs.sparkSession), "row", "leaf")
+    encoded = spread.mapInArrow(tidy(encode_leaves), f"row long, id {id_type}, leaf int, text string, ids binary")
     joined = encoded.groupBy("row").applyInArrow(join, schema)
-    return rows.where(~long).mapInArrow(short, schema).unionAll(joined).withColumnRenamed("id", id_col)
+    return rows.where(~long).mapInArrow(tidy(short), schema).unionAll(joined).withColumnRenamed("id", id_col)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

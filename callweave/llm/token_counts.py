@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.bpe import BATCH_BYTES, PieceEncoder
-from callweave.llm.common import slices, utf8
+from callweave.llm.common import slices, tidy, utf8
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,4 +33,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(count, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(count), f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
