@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import cut_lineage, slices
+from callweave.llm.common import bounded, cut_lineage, slices, tidy
 from callweave.llm.text_arrays import BLANK, DIGIT, LOWER, STOP, SYMBOL, TextArrays
 
 BATCH_BYTES = 4 << 20
@@ -32,6 +32,8 @@ MAX_REPEATED_PERCENT = 30
 MIN_CHARS = 100
 MIN_WORDS = 50
 MIN_REFERENCE_DOCS = 20
+#: Languages whose references (about a kilobyte each) are broadcast at most; beyond that the join shuffles.
+BROADCAST_LANGS = 20_000
 CLASS_LIMIT = (0.13, 1.2)
 WORD_LIMIT = (0.18, 2.0)
 
@@ -118,11 +120,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``id_col``, the base counts, base_failed, class_distance, word_distance and kept for every document."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     id_type = rows.schema["id"].dataType.simpleString()
-    counted = rows.mapInArrow(_counts, f"id {id_type}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<int>, common array<int>")
+    counted = rows.mapInArrow(tidy(_counts), f"id {id_type}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<int>, common array<int>")
     failed = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     counted = cut_lineage(counted.withColumn("base_failed", failed))
     references = cut_lineage(language_references(counted))
-    judged = counted.join(references.where(F.col("lang").isNotNull()), "lang", "left")
+    judged = counted.join(bounded(references.where(F.col("lang").isNotNull()), BROADCAST_LANGS), "lang", "left")
     every = references.where(F.col("lang").isNull()).first()
     for kind, distance in (("classes", "class_distance"), ("common", "word_distance")):
         mean = F.array(*[F.lit(x) for x in every[f"{kind}_ref"]]) if every else F.lit(None).cast("array<double>")
