@@ -2,15 +2,24 @@
 
 Documents of low quality go, repeated lines go, one document of each near-duplicate group stays, sources are mixed
 to target weights, and what is left is encoded.  Each stage takes (spark, docs, sf_dir) and gives a
-DataFrame; all but the last keep the columns of ``documents``.
+DataFrame; all but the last keep the columns of ``documents``.  ``run`` writes each stage but the last to the shared
+checkpoint folder as Parquet and reads it again, so that no stage computes another one anew.
+
+Edge cases: a null text is an empty one for the classifier and goes with the documents left without a word; null labels are
+left out; without labels every document scores 0.5 and stays; rows with equal id and text are kept or dropped alike by the
+first two stages, of equal texts the smallest id stays; empty tables give an empty result; columns beside those of
+``documents`` are kept by all stages but the last.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import bpe_codec, chosen_path, line_crf, line_dedup, soft_mixing
+from callweave.llm.common import shared_folder
 
 #: Weights of the mixing stage; low quality has gone before.
 MIX_WEIGHTS = {"low": 0.0, "good": 0.95, "toxic": 0.05}
@@ -58,6 +67,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, one after another."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    *first, (_, last) = STAGES
+    for name, stage in first:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return last(spark, docs, sf_dir)
