@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -55,30 +56,40 @@ def rank_sums(rows: DataFrame, keys: list[str], value: str, is_alt: str) -> Data
     return sums.withColumns({"z": score, "tied": F.col("__ties") > 0}).drop("__ties")
 
 
-def _exact_less(n: int, m: int, u: int) -> float:
-    """P(U <= u) without ties: choices of n out of n + m by their sum, as products of Gaussian factors."""
+@functools.lru_cache(maxsize=1024)
+def _exact(n: int, m: int) -> np.ndarray:
+    """P(U <= u) for every u, without ties: choices of n out of n + m by their sum, as products of Gaussian factors."""
     ways = np.zeros(n * m + 1)
     ways[0] = 1
     for i in range(1, n + 1):
-        for s in range(m + i, n * m + 1)[::-1]:
-            ways[s] -= ways[s - m - i]
-        for s in range(i, n * m + 1):
-            ways[s] += ways[s - i]
-    return float(ways[: u + 1].sum() / math.comb(n + m, n))
+        ways[m + i :] -= ways[: max(0, n * m + 1 - m - i)].copy()
+        for r in range(i):
+            ways[r::i] = np.cumsum(ways[r::i])
+    return np.cumsum(ways) / math.comb(n + m, n)
+
+
+#: Sides up to this size are compared exactly, if no value repeats.
+EXACT = 8
 
 
 @F.pandas_udf(DoubleType())
-def _p_less(n: pd.Series, m: pd.Series, u: pd.Series, z: pd.Series, tied: pd.Series) -> pd.Series:
-    def one(n, m, u, z, tied):
-        if not n or not m:
-            return None
-        if min(n, m) <= 8 and not tied:
-            return _exact_less(min(n, m), max(n, m), int(u))
-        return 0.5 if z is None or math.isnan(z) else 0.5 * math.erfc(z / math.sqrt(2))
+def _less(n: pd.Series, m: pd.Series, u: pd.Series, z: pd.Series, tied: pd.Series) -> pd.Series:
+    n, m, tied = n.fillna(0).to_numpy(int), m.fillna(0).to_numpy(int), tied.fillna(False).to_numpy(bool)
+    z = z.fillna(0).to_numpy(float)
+    p = np.where(np.minimum(n, m) > 0, 0.5 * np.fromiter(map(math.erfc, z / math.sqrt(2)), float, len(z)), np.nan)
+    for i in np.flatnonzero((np.minimum(n, m) > 0) & (np.minimum(n, m) <= EXACT) & ~tied):
+        p[i] = _exact(*sorted((int(n[i]), int(m[i]))))[int(u.iloc[i])]
+    return pd.Series(p).astype("Float64").where(np.minimum(n, m) > 0)
+
 
-    return pd.Series([one(*x) for x in zip(n, m, u, z, tied, strict=True)], dtype="float64")
+def p_less(n: Column, m: Column, u: Column, z: Column, tied: Column) -> Column:
+    """The probability of an alternative side this low, from its size, the other's, U, its normal score and whether values repeat.
+
+    Null if a side is empty, a half if all values are equal.
+    """
+    return _less(n, m, u, z, tied)
 
 
 def mann_whitney_less(rows: DataFrame, keys: list[str], value: str, is_alt: str) -> DataFrame:
     """``rank_sums`` with p, the probability of an alternative side this low; null if a side is empty."""
-    return rank_sums(rows, keys, value, is_alt).withColumn("p", _p_less("n_alt", "n_ref", "u", "z", "tied"))
+    return rank_sums(rows, keys, value, is_alt).withColumn("p", p_less(F.col("n_alt"), F.col("n_ref"), F.col("u"), F.col("z"), F.col("tied")))

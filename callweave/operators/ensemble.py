@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callweave.functions.expressions import general
+
 KEY = ["chrom", "pos", "ref", "alt"]
 
 
@@ -41,10 +43,6 @@ def consensus_label(num_tools: str, tools: int) -> Column:
     return F.when(n > 0.5 * tools, "PASS").when((n >= 1) & (n >= 0.33 * tools), "LowQual").otherwise("REJECT")
 
 
-def score_label(score: str, passes: float = 0.5, low: float = 0.1) -> Column:
-    return F.when(F.col(score) >= passes, "PASS").when(F.col(score) >= low, "LowQual").otherwise("REJECT")
-
-
 def label_truth(variants: DataFrame, truth: DataFrame | None) -> DataFrame:
     """is_true 1 or 0; null without a truth set."""
     if truth is None:
@@ -53,17 +51,27 @@ def label_truth(variants: DataFrame, truth: DataFrame | None) -> DataFrame:
     return variants.join(known, KEY, "left").withColumn("is_true", F.coalesce("__t", F.lit(0))).drop("__t")
 
 
-def metrics(labelled: DataFrame, n_truth: int, positive: Column) -> DataFrame:
-    """tp, fp, fn, precision, sensitivity and f1 of the rows that are called positive."""
-    got = labelled.agg(F.count_if(positive & (F.col("is_true") == 1)).alias("tp"), F.count_if(positive & (F.col("is_true") == 0)).alias("fp")).withColumn("fn", F.lit(n_truth) - F.col("tp"))
+def metrics(labelled: DataFrame, truth: DataFrame, positive: Column) -> DataFrame:
+    """tp, fp, fn (of the distinct variants of ``truth``), precision, sensitivity and f1 of the rows that are called positive."""
+    wanted = truth.select(*KEY).distinct().agg(F.count("*").alias("__n"))
+    got = labelled.agg(F.count_if(positive & (F.col("is_true") == 1)).alias("tp"), F.count_if(positive & (F.col("is_true") == 0)).alias("fp"))
+    got = got.join(F.broadcast(wanted)).withColumn("fn", F.col("__n") - F.col("tp")).drop("__n")
     got = got.withColumn("precision", F.try_divide("tp", F.col("tp") + F.col("fp"))).withColumn("sensitivity", F.try_divide("tp", F.col("tp") + F.col("fn")))
     return got.withColumn("f1", F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
-def subtract_callers(calls: DataFrame, gone: list[str]) -> DataFrame:
-    """Variants that callers other than ``gone`` support."""
-    kept = calls.where(~F.col("caller").isin(gone))
-    return min_callers(count_votes(kept).where("votes > 0"), 0.0)
+#: Metrics of features that come from one caller alone.
+OWN_METRICS = {
+    "if_MuTect": ("M2_NLOD", "M2_TLOD", "M2_STR", "M2_ECNT"), "if_JointSNVMix2": ("SNVMix2_Score",), "if_SomaticSniper": ("Sniper_Score",),
+    "if_VarDict": ("VarDict_Score", "MSI", "MSILEN", "SHIFT3"), "if_Strelka": ("Strelka_Score", "Strelka_QSS", "Strelka_TQSS"),
+}
+
+
+def subtract_callers(features: DataFrame, gone: list[str], callers: list[str]) -> DataFrame:
+    """Feature rows that verdict columns ``callers`` other than ``gone`` support; columns of the gone callers become null."""
+    rest = sum((F.coalesce(F.col(c), F.lit(0)) for c in callers if c not in gone), F.lit(0))
+    empty = [c for g in gone for c in (g, *OWN_METRICS.get(g, ())) if c in features.columns]
+    return features.where(rest > 0).withColumns({c: F.lit(None).cast(features.schema[c].dataType) for c in empty})
 
 
 def caller_combinations(calls: DataFrame, truth: DataFrame, callers: list[str]) -> DataFrame:
@@ -85,14 +93,20 @@ def compare_callsets(mine: DataFrame, truth: DataFrame) -> DataFrame:
     return both.select("chrom", "pos", F.col("k").cast("long").alias("k"), status.alias("status"))
 
 
-def tally_samples(calls: DataFrame, samples: list[str], least: int = 1) -> DataFrame:
-    """One row for each variant with each sample's filter, and in how many samples it passes."""
-    wide = calls.groupBy(*KEY).pivot("caller", samples).agg(F.max("filter"))
-    passes = sum((F.coalesce((F.col(s) == "PASS").cast("int"), F.lit(0)) for s in samples), F.lit(0))
-    return wide.withColumn("num", passes.cast("long")).where(F.col("num") >= least)
+def fill_missing_samples(calls: DataFrame, samples: list[str], sample: str = "caller") -> DataFrame:
+    """Every variant in every sample, with filter NONE where it wasn't called."""
+    wanted = calls.select(*KEY).distinct().withColumn(sample, F.explode(F.array(*[F.lit(s) for s in samples])))
+    return wanted.join(calls.select(*KEY, sample, "filter"), [*KEY, sample], "left").withColumn("filter", F.coalesce("filter", F.lit("NONE")))
+
 
+def tally_samples(calls: DataFrame, depths: DataFrame, samples: list[str], labels: tuple[str, ...] = ("PASS",), least: int = 1, sample: str = "sample") -> DataFrame:
+    """One row for each variant that has one of ``labels`` in at least ``least`` samples: num, and each sample's text.
 
-def fill_missing_samples(calls: DataFrame, samples: list[str]) -> DataFrame:
-    """Rows with filter NONE for the samples in which a variant wasn't called."""
-    wanted = calls.select(*KEY).distinct().withColumn("caller", F.explode(F.array(*[F.lit(s) for s in samples])))
-    return wanted.join(calls.select(*KEY, "caller", "filter"), [*KEY, "caller"], "left").withColumn("filter", F.coalesce("filter", F.lit("NONE")))
+    ``depths`` has var_reads and depth of variants by sample; the text is filter:var_reads/depth=share.
+    """
+    every = fill_missing_samples(calls, samples, sample).join(depths.select(*KEY, sample, "var_reads", "depth"), [*KEY, sample], "left").na.fill(0, ["var_reads", "depth"])
+    share = F.coalesce(general(F.try_divide("var_reads", "depth")), F.lit("nan"))
+    text = F.concat(F.replace(F.col("filter"), F.lit(";"), F.lit(",")), F.lit(":"), F.col("var_reads"), F.lit("/"), F.col("depth"), F.lit("="), share)
+    told = every.withColumns({"__text": text, "__met": F.arrays_overlap(F.split("filter", ";"), F.array(*[F.lit(x) for x in labels]))})
+    by = told.groupBy(*KEY).agg(F.count_if("__met").alias("num"), *[F.max(F.when(F.col(sample) == s, F.col("__text"))).alias(s) for s in samples])
+    return by.where(F.col("num") >= least)

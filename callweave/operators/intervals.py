@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 #: Width of the bins in which overlaps are looked for.
 BIN = 1024
-#: Width of the bins in which intervals are merged first.
+#: Width of the bins in which a contig's intervals or positions are worked on first.
 MERGE_BIN = 1 << 16
+#: Logarithms of the bin widths of which an interval takes the smallest that holds it whole.
+LEVELS = (10, 13, 16, 19, 22, 25, 28, 31, 62)
 
 
 def _binned(df: DataFrame, start: Column, end: Column, width: int) -> DataFrame:
@@ -21,7 +23,7 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFra
     """All pairs of overlapping rows; the right side's interval comes out as r_start0 and r_end0.
 
     Both sides are spread over bins and joined on (chrom, bin); a pair is kept only in the bin that holds the larger
-    start, so it comes out once.
+    start, so it comes out once.  Deep bins are split at run time, as adaptive execution does with skewed joins.
     """
     right = right.withColumnsRenamed({"start0": "r_start0", "end0": "r_end0"})
     a = _binned(left, F.col("start0"), F.col("end0"), width)
@@ -35,16 +37,25 @@ def variant_footprint(variants: DataFrame) -> DataFrame:
     return variants.withColumns({"start0": (F.col("pos") - 1).cast("long"), "end0": (F.col("pos") - 1 + F.length("ref")).cast("long")})
 
 
-def _touched(variants: DataFrame, regions: DataFrame, how: str, width: int = BIN) -> DataFrame:
-    """Rows that touch a region, or don't: each merged region's bins against the row's one or more bins."""
-    merged = merge_intervals(regions).select("chrom", F.col("start0").alias("r_start0"), F.col("end0").alias("r_end0"))
-    bins = _binned(merged, F.col("r_start0"), F.col("r_end0"), width)
-    rows = variant_footprint(variants).withColumn("__bin", F.floor(F.col("start0") / width))
-    reach = F.floor((F.col("end0") - 1) / width)
-    longest = rows.withColumn("__bin", F.explode(F.sequence(F.col("__bin"), F.greatest(reach, F.col("__bin")))))
-    hit = longest.alias("v").join(bins.alias("r"), F.expr("v.chrom = r.chrom and v.__bin = r.__bin and v.start0 < r.r_end0 and r.r_start0 < v.end0"), "left_semi")
-    key = [c for c in ("chrom", "pos", "ref", "alt") if c in variants.columns]
-    return variants.join(hit.select(*key).distinct(), key, how)
+def touching(rows: DataFrame, regions: DataFrame, how: str, start: str = "start0", end: str = "end0") -> DataFrame:
+    """Rows that overlap a region (``left_semi``) or none (``left_anti``), as they are.
+
+    A row is in one bin only, the smallest that holds it whole, and a region in all bins of every width that it
+    overlaps; so rows are neither multiplied nor told apart by their values, and nulls overlap nothing.
+    """
+    first, last = F.col(start).cast("long"), F.greatest(F.col(start), F.col(end) - 1).cast("long")
+    level = F.coalesce(*[F.when(F.shiftright(first, s) == F.shiftright(last, s), F.struct(F.lit(s).alias("s"), F.shiftright(first, s).alias("b"))) for s in LEVELS])
+    r_start, r_last = F.col("start0").cast("long"), (F.col("end0") - 1).cast("long")
+    at_level = lambda s: F.transform(F.sequence(F.shiftright(r_start, s), F.shiftright(r_last, s)), lambda b: F.struct(F.lit(s).alias("s"), b.alias("b")))
+    spread = F.flatten(F.array(*[at_level(s) for s in LEVELS]))
+    bins = regions.where("start0 < end0").select(F.col("chrom").alias("r_chrom"), F.col("start0").alias("r_start0"), F.col("end0").alias("r_end0"), F.explode(spread).alias("r_bin"))
+    hit = (F.col("chrom") == F.col("r_chrom")) & (F.col("__bin") == F.col("r_bin")) & (F.col(start) < F.col("r_end0")) & (F.col("r_start0") < F.col(end))
+    return rows.withColumn("__bin", level).join(bins, hit, how).drop("__bin")
+
+
+def _touched(variants: DataFrame, regions: DataFrame, how: str) -> DataFrame:
+    spanned = variants.withColumns({"__from": (F.col("pos") - 1).cast("long"), "__to": (F.col("pos") - 1 + F.length("ref")).cast("long")})
+    return touching(spanned, regions, how, "__from", "__to").drop("__from", "__to")
 
 
 def include_regions(variants: DataFrame, regions: DataFrame) -> DataFrame:
@@ -60,11 +71,10 @@ def intersect_regions(variants: DataFrame, include: DataFrame | None = None, exc
     return variants if exclude is None else exclude_regions(variants, exclude)
 
 
-def in_region(positions: DataFrame, regions: DataFrame, width: int = BIN) -> DataFrame:
+def in_region(positions: DataFrame, regions: DataFrame) -> DataFrame:
     """The boolean in_region: whether start0 < pos <= end0 for any region."""
-    bins = _binned(merge_intervals(regions), F.col("start0"), F.col("end0"), width)
-    keyed = positions.select("chrom", "pos").distinct().withColumn("__bin", F.floor((F.col("pos") - 1) / width))
-    hit = keyed.join(bins, ["chrom", "__bin"]).where("start0 < pos and pos <= end0").select("chrom", "pos").distinct().withColumn("__in", F.lit(True))
+    spanned = positions.select("chrom", "pos").distinct().withColumns({"__from": (F.col("pos") - 1).cast("long"), "__to": F.col("pos").cast("long")})
+    hit = touching(spanned, regions, "left_semi", "__from", "__to").select("chrom", "pos", F.lit(True).alias("__in"))
     return positions.join(hit, ["chrom", "pos"], "left").withColumn("in_region", F.coalesce("__in", F.lit(False))).drop("__in")
 
 
@@ -99,47 +109,90 @@ def merge_intervals(regions: DataFrame, by: tuple[str, ...] = ("chrom",), width:
     return placed.where("not __crosses").select(*by, "start0", "end0").unionByName(joined)
 
 
-def count_loci(regions: DataFrame, contigs: DataFrame) -> DataFrame:
+def running(rows: DataFrame, at: str, by: str = "chrom", step: str | None = None, width: int = MERGE_BIN) -> DataFrame:
+    """Distinct positions with ``next``, the position after each, and the ``total`` of ``step`` up to and with it.
+
+    Both are windows inside the bins of a contig, carried on by windows over one row for each bin, so that no window holds a contig.
+    """
+    binned = rows.withColumn("__bin", F.floor(F.col(at) / width)).withColumn("__step", F.col(step) if step else F.lit(0))
+    bins = binned.groupBy(by, "__bin").agg(F.min(at).alias("__first"), F.sum("__step").alias("__sum"))
+    line = Window.partitionBy(by).orderBy("__bin")
+    before = F.coalesce(F.sum("__sum").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.select(by, "__bin", before.alias("__base"), F.lead("__first").over(line).alias("__after"))
+    inner = Window.partitionBy(by, "__bin").orderBy(at)
+    out = binned.withColumns({"__lead": F.lead(at).over(inner), "__part": F.sum("__step").over(inner)}).join(bins, [by, "__bin"])
+    out = out.withColumns({"next": F.coalesce("__lead", "__after"), "total": F.col("__base") + F.col("__part")})
+    return out.drop("__bin", "__step", "__lead", "__part", "__base", "__after")
+
+
+def count_loci(regions: DataFrame, contigs: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """Segments between all boundaries of the labelled, merged region sets: how many sets cover each, and which.
 
-    Covers [0, size) of every contig that has a region; uncovered segments have labels '.'.
+    Covers [0, size) of every contig that has a region; uncovered segments have labels '.'.  Labels come in the order of
+    ``labels``, else sorted.
     """
     merged = merge_intervals(regions, ("label", "chrom"))
     named = contigs.join(merged.select("chrom").distinct(), "chrom", "left_semi")
     edges = merged.select("chrom", F.explode(F.array("start0", "end0")).alias("at")).unionByName(named.select("chrom", F.explode(F.array(F.lit(0).cast("long"), F.col("size"))).alias("at"))).distinct()
-    follow = Window.partitionBy("chrom").orderBy("at")
-    segments = edges.withColumn("end0", F.lead("at").over(follow)).where("end0 is not null").withColumnRenamed("at", "start0")
-    covered = overlap_join(segments, merged).groupBy("chrom", "start0", "end0").agg(F.count("*").alias("n_sets"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"))
+    segments = running(edges, "at").where("next is not null").select("chrom", F.col("at").alias("start0"), F.col("next").alias("end0"))
+    found = F.array_sort(F.collect_set("label"))
+    ordered = found if labels is None else F.array_intersect(F.array(*[F.lit(x) for x in labels]), found)
+    covered = overlap_join(segments, merged).groupBy("chrom", "start0", "end0").agg(F.count("*").alias("n_sets"), F.array_join(ordered, ",").alias("labels"))
     out = segments.join(covered, ["chrom", "start0", "end0"], "left")
     return out.select("chrom", "start0", "end0", F.coalesce("n_sets", F.lit(0)).cast("long").alias("n_sets"), F.coalesce("labels", F.lit(".")).alias("labels"))
 
 
-def split_equal_bp(regions: DataFrame, shards: int, order_cols: tuple[str, ...] = ("chrom", "start0", "end0")) -> DataFrame:
-    """Ordered regions cut into ``shards`` parts of ceil(total / shards) bases, with 1-based shard numbers.
+def region_depth(regions: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Segments between all boundaries of the regions as they are, with how many cover each; equal neighbours stay apart."""
+    steps = regions.select("chrom", F.explode(F.array(F.struct(F.col("start0").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end0").alias("at"), F.lit(-1).alias("d")))).alias("x")).select("chrom", "x.at", "x.d")
+    named = contigs.join(regions.select("chrom").distinct(), "chrom", "left_semi")
+    ends = named.select("chrom", F.explode(F.array(F.lit(0).cast("long"), F.col("size"))).alias("at"), F.lit(0).alias("d"))
+    net = steps.unionByName(ends).groupBy("chrom", "at").agg(F.sum("d").alias("d"))
+    return running(net, "at", step="d").where("next is not null").select("chrom", F.col("at").alias("start0"), F.col("next").alias("end0"), F.col("total").cast("long").alias("n_regions"))
+
+
+def split_equal_bp(regions: DataFrame, shards: int, contigs: DataFrame | None = None) -> DataFrame:
+    """Regions in order cut into ``shards`` parts of ceil(total / shards) bases, with 1-based shard numbers.
 
-    Running offsets come from sums over contigs first, so no single task sees all regions.
+    Contigs go in the order of ``contigs`` (their ``offset``), else by name.  Running offsets are summed up inside bins,
+    then over the bins of a contig, then over contigs, so no task sees all regions.
     """
     length = F.col("end0") - F.col("start0")
     total = regions.agg(F.sum(length)).first()[0] or 0
     per = -(-total // shards) or 1
-    head, *rest = order_cols
-    inner = F.sum(length).over(Window.partitionBy(head).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1))
-    sums = regions.groupBy(head).agg(F.sum(length).alias("__n"))
-    offsets = sums.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy(head).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    placed = regions.withColumn("__inner", F.coalesce(inner, F.lit(0))).join(offsets, head).withColumn("__off", F.col("__inner") + F.col("__base"))
-    cut = placed.where(length > 0).withColumn("__s", F.explode(F.expr(f"sequence(__off div {per}, (__off + end0 - start0 - 1) div {per})")))
+    rows = regions.select("chrom", "start0", "end0", length.alias("__n"), F.floor(F.col("start0") / MERGE_BIN).alias("__bin"))
+    inner = F.coalesce(F.sum("__n").over(Window.partitionBy("chrom", "__bin").orderBy("start0", "end0").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = rows.groupBy("chrom", "__bin").agg(F.sum("__n").alias("__n"))
+    if contigs is None:
+        bins = bins.withColumn("__rank", F.col("chrom"))
+    else:
+        bins = bins.join(F.broadcast(contigs.select("chrom", F.col("offset").alias("__rank"))), "chrom", "left")
+    whole = bins.groupBy("chrom", "__rank").agg(F.sum("__n").alias("__n"))
+    ahead = Window.orderBy(F.col("__rank").asc_nulls_last(), "chrom").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("chrom", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__contig"))
+    line = Window.partitionBy("chrom").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select("chrom", "__bin", F.coalesce(F.sum("__n").over(line), F.lit(0)).alias("__base")).join(whole, "chrom")
+    placed = rows.withColumn("__inner", inner).join(bins, ["chrom", "__bin"]).withColumn("__off", F.col("__inner") + F.col("__base") + F.col("__contig"))
+    cut = placed.where("__n > 0").withColumn("__s", F.explode(F.expr(f"sequence(__off div {per}, (__off + __n - 1) div {per})")))
     start = F.greatest(F.col("start0"), F.col("start0") + F.col("__s") * per - F.col("__off"))
     end = F.least(F.col("end0"), F.col("start0") + (F.col("__s") + 1) * per - F.col("__off"))
     return cut.select((F.col("__s") + 1).alias("shard"), "chrom", start.alias("start0"), end.alias("end0"))
 
 
-def tile_regions(regions: DataFrame, length: int = 5000, overlap: int = 150) -> DataFrame:
-    """Tiles of fixed length with overlap; the last one of a region ends with it."""
+def tile_regions(regions: DataFrame, length: int = 5000, overlap: int = 150, left_flank: int | None = None, right_flank: int | None = None) -> DataFrame:
+    """Tiles of fixed length with overlap over the regions with their flanks (``overlap`` bases unless given).
+
+    Once a tile would pass the end of a region, it is the last one and ends with the region's right flank.
+    """
+    if length <= overlap:
+        raise ValueError("tiles must be longer than their overlap")
+    left, right = (overlap if f is None else f for f in (left_flank, right_flank))
     step = length - overlap
-    n = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("end0") - F.col("start0") - overlap) / step))
-    tiles = regions.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    start = F.col("start0") + F.col("k") * step
-    return tiles.select("chrom", start.alias("start0"), F.least("end0", start + length).alias("end0"), F.concat_ws("_", "chrom", "start0", "k").alias("name"))
+    rows = regions.select("chrom", F.greatest(F.col("start0") - left, F.lit(0)).alias("__i"), F.col("end0").alias("__e"), (F.col("end0") + right).alias("__end"))
+    last = F.when(F.col("__i") + length >= F.col("__end"), 0).otherwise(F.greatest(F.lit(1), F.floor((F.col("__e") - length - F.col("__i")) / step) + 1)).cast("long")
+    tiles = rows.withColumn("__last", last).withColumn("k", F.explode(F.expr("sequence(0L, __last)"))).withColumn("start0", F.col("__i") + F.col("k") * step)
+    end = F.when(F.col("k") == F.col("__last"), F.col("__end")).otherwise(F.col("start0") + length)
+    return tiles.select("chrom", "start0", end.alias("end0"), F.concat_ws("_", "chrom", "start0", F.col("k") + 1).alias("name"))
 
 
 def sites_from_regions(regions: DataFrame) -> DataFrame:

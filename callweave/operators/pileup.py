@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave.functions.expressions import general, vaf
+
 
 def with_bases(pileup: DataFrame, bases: str = "bases") -> DataFrame:
     """``plain`` (one character a read), ``insertions`` and ``deletions`` (sequences, in lower case if reverse).
@@ -41,3 +43,22 @@ def depth4(pileup: DataFrame, ref: str = "ref", alt: str = "alt", bases: str = "
     added, gone = F.substr(a, F.lit(2)), F.substr(r, F.lit(2))
     by = lambda case: F.when(F.length(a) > F.length(r), among("insertions", case(added))).when(F.length(a) < F.length(r), among("deletions", case(gone))).otherwise((F.length("plain") - F.length(F.replace(F.col("plain"), case(a), F.lit("")))).cast("long"))
     return counted.withColumns({"dp_alt_fwd": by(F.upper), "dp_alt_rev": by(F.lower)})
+
+
+def with_pileup_depths(variants: DataFrame, pileup: DataFrame) -> DataFrame:
+    """Variants with plDP4 and plVAF of their first alternative from a sample's pileup; dots where it has no line."""
+    first = variants.withColumn("__alt", F.get(F.split("alt", ","), F.lit(0)))
+    there = pileup.select("chrom", "pos", F.coalesce("bases", F.lit("")).alias("__bases"))
+    met = depth4(first.join(there, ["chrom", "pos"], "left"), "ref", "__alt", "__bases")
+    four = [F.col(c) for c in ("ref_fwd", "ref_rev", "dp_alt_fwd", "dp_alt_rev")]
+    known = F.col("__bases").isNotNull()
+    share = general(vaf(four[2] + four[3], four[0] + four[1]), 3)
+    out = met.withColumns({"plDP4": F.when(known, F.concat_ws(",", *[c.cast("string") for c in four])).otherwise(".,.,.,."), "plVAF": F.when(known, share).otherwise(".")})
+    return out.select(*variants.columns, "plDP4", "plVAF")
+
+
+def indel_totals(pileup: DataFrame, bases: str = "bases", depth: str = "depth") -> DataFrame:
+    """Reads with an insertion or a deletion after a position, and their share of the depth there; 0 without depth."""
+    counted = base_counts(pileup, bases)
+    share = F.try_divide(F.col("n_insertions") + F.col("n_deletions"), F.col(depth))
+    return counted.withColumn("indel_fraction", F.coalesce(share, F.lit(0.0)))

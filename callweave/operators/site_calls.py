@@ -25,7 +25,7 @@ def site_calls(reads: DataFrame, sites: DataFrame) -> DataFrame:
         'q', aggregate(slice(__ops, 1, i), 0L, (a, y) -> a + if(y.k = 'del', 0, y.n)),
         'p', aggregate(slice(__ops, 1, i), 0L, (a, y) -> a + y.n)))"""
     met = met.withColumn("__laid", F.expr(laid))
-    met = met.withColumn("__at", F.expr("filter(__laid, x -> x.k <> 'ins' and x.r <= pos - 1 and pos - 1 < x.r + x.n)[0]"))
+    met = met.withColumn("__at", F.expr("get(filter(__laid, x -> x.k <> 'ins' and x.r <= pos - 1 and pos - 1 < x.r + x.n), 0)"))
     met = met.withColumn("__rest", F.expr("slice(__laid, __at.i + 2, size(__laid))")).withColumn("__next", F.expr("get(__rest, 0).k"))
     # the length of the run of equal operations that follows
     met = met.withColumn("__run", F.expr("aggregate(__rest, named_struct('n', 0L, 'on', true), (a, x) -> named_struct('n', if(a.on and x.k = __next, a.n + x.n, a.n), 'on', a.on and x.k = __next)).n"))

@@ -1,38 +1,20 @@
-"""Queries over the test tables and their SQL twins."""
+"""Queries over call sets, regions and sequences, and their SQL twins; all queries of the library are in ``QUERIES``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import expressions as X
-from callweave.functions import tests_of_counts as T
 from callweave.operators import ensemble as E
 from callweave.operators import intervals as I
 from callweave.operators import pileup as P
-from callweave.operators import reads as R
-from callweave.operators import site_calls as S
 from callweave.operators import verdicts as V
-from callweave.plans.views import duck, view
+from callweave.plans.register import ORACLES, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 CALLERS = [f"c{i}" for i in range(1, 8)]
 
 
-def query(sql: str):
-    """Register a function of (view getter) with its SQL over the views."""
-
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: view(spark, sf_dir, name))
-        ORACLES[f.__name__] = duck(sql)
-        return f
-
-    return register
-
-
 VOTES = """select chrom, pos, ref, alt, sum(v) as votes, sum(case when v = 1 then 1 else 0 end) as num_tools, count(*) as n_callers
  from (select chrom, pos, ref, alt, caller, max(case filter when 'REJECT' then 0.0 when 'LowQual' then 0.5 else 1.0 end) as v from calls_v group by all) group by chrom, pos, ref, alt"""
 LABELLED = f"""select v.*, case when t.pos is null then 0 else 1 end as is_true,
@@ -59,7 +41,7 @@ def consensus_truth(v):
 @query(f"""select tp, fp, n - tp as fn, tp / (tp + fp) as precision, tp / n as sensitivity, 2.0 * tp / (2.0 * tp + fp + n - tp) as f1
  from (select count(*) filter (where is_true = 1 and consensus <> 'REJECT') as tp, count(*) filter (where is_true = 0 and consensus <> 'REJECT') as fp, (select count(*) from truth_v) as n from ({LABELLED}))""")
 def consensus_metrics(v):
-    return E.metrics(_labelled(v), v("truth_v").count(), F.col("consensus") != "REJECT")
+    return E.metrics(_labelled(v), v("truth_v"), F.col("consensus") != "REJECT")
 
 
 @query("select distinct chrom, pos, ref, alt from calls_v")
@@ -72,11 +54,6 @@ def min_callers(v):
     return _votes(E.min_callers(E.count_votes(v("calls_v")), 1.5))
 
 
-@query(f"select chrom, pos, ref, alt, cast(votes as double) as votes, cast(num_tools as bigint) as num_tools, n_callers from ({VOTES.replace('from calls_v', "from calls_v where caller not in ('c1', 'c2')")}) where votes > 0")
-def subset_callers(v):
-    return _votes(E.subtract_callers(v("calls_v"), ["c1", "c2"]))
-
-
 @query("""select cast(s as int) as callers, count(*) as calls, cast(sum(t) as bigint) as true_calls from
  (select m.mask, case when t.pos is null then 0 else 1 end as t from (select chrom, pos, ref, alt, bit_or(1 << (cast(substr(caller, 2) as int) - 1)) as mask from calls_v where filter = 'PASS' group by all) m
   left join truth_v t on m.chrom = t.chrom and m.pos = t.pos and m.ref = t.ref and m.alt = t.alt), range(1, 128) r(s) where mask & cast(s as int) <> 0 group by s""")
@@ -139,10 +116,18 @@ def split_equal_bp(v):
     return I.split_equal_bp(I.merge_intervals(v("regions_v")), 7)
 
 
-@query("""select chrom, start0 + k * 150 as start0, least(end0, start0 + k * 150 + 200) as end0, concat_ws('_', chrom, start0, k) as name
- from (select *, unnest(range(greatest(1, cast(ceil((end0 - start0 - 50) / 150.0) as bigint)))) as k from regions_v)""")
+@query("""with recursive t as (select chrom, greatest(start0 - 20, 0) as i, least(greatest(start0 - 20, 0) + 200, end0 + 30) as j, end0 as e, 1 as k from regions_v
+  union all select chrom, j - 50, case when j - 50 + 200 > e then e + 30 else j - 50 + 200 end, e, k + 1 from t where j < e + 30)
+ select chrom, i as start0, j as end0, concat_ws('_', chrom, i, k) as name from t""")
 def tile_regions(v):
-    return I.tile_regions(v("regions_v"), 200, 50)
+    return I.tile_regions(v("regions_v"), 200, 50, 20, 30)
+
+
+@query("""with e as (select chrom, start0 as p, 1 as d from regions_v union all select chrom, end0, -1 from regions_v union all select chrom, 0, 0 from regions_v union all select chrom, max(end0) + 151, 0 from regions_v group by chrom),
+ s as (select chrom, p, sum(d) as d from e group by chrom, p), r as (select chrom, p as start0, lead(p) over w as end0, cast(sum(d) over w as bigint) as n_regions from s window w as (partition by chrom order by p)) select * from r where end0 is not null""")
+def region_depth(v):
+    r = v("regions_v")
+    return I.region_depth(r, r.groupBy("chrom").agg((F.max("end0") + 151).alias("size")))
 
 
 def _flags(c: str = "upper(ref || alt)") -> str:
@@ -154,11 +139,6 @@ def substitution_class(v):
     return X.with_substitution(v("truth_v"))
 
 
-@query("select ref || '>' || alt as substitution, filter, count(*) as n from calls_v group by all")
-def substitution_by_label(v):
-    return v("calls_v").groupBy(F.concat("ref", F.lit(">"), "alt").alias("substitution"), "filter").agg(F.count("*").alias("n"))
-
-
 COMPLEX = "select read_id, start0 as pos, substr('GATTACAGATTACA', cast(1 + read_id % 7 as int), cast(1 + read_id % 5 as int)) as ref, substr('CATGCATGCATG', cast(1 + read_id % 4 as int), cast(1 + read_id % 3 as int)) as alt from reads_v"
 
 
@@ -217,45 +197,6 @@ def phred_and_ratios(v):
     return v("reads_v").select("read_id", F.round(X.p2phred((i % 101) / F.lit(100.0), 40.0), 9).alias("phred"), F.round(X.phred2p(F.col("mapq")), 12).alias("p_wrong"), F.round(odds, 9).alias("odds"), X.genotype(rf, rr, af, ar).alias("gt"), F.round(X.vaf(af + ar, rf + rr), 9).alias("vaf"))
 
 
-@query("select * from reads_v where mapq >= 20 and nm <= 3 and is_proper_pair and cigar not like '%S%'")
-def filter_reads(v):
-    return R.filter_reads(v("reads_v"), 20, 3, True, True)
-
-
-@query("select read_id, case cigar when '5S95M' then '95M' when '90M10S' then '90M' else cigar end as cigar, case cigar when '5S95M' then 5 when '90M10S' then 10 else 0 end as trimmed from reads_v")
-def trim_soft_clips(v):
-    return R.trim_soft_clips(v("reads_v")).select("read_id", "cigar", "trimmed")
-
-
-@query("select a.qname, a.chrom as chrom1, a.start0 as start1, b.chrom as chrom2, b.start0 as start2 from reads_v a join reads_v b on a.qname = b.qname where not a.is_reverse and b.is_reverse")
-def mate_pairs(v):
-    return R.mate_pairs(v("reads_v"))
-
-
-@query("""select count(*) as total, count(*) filter (where is_duplicate) as duplicates, count(*) filter (where cigar like '%S%' and not is_proper_pair) as clipped_discordant, count(*) filter (where cigar like '%S%' and is_proper_pair) as clipped_only,
- count(*) filter (where cigar not like '%S%' and not is_proper_pair) as discordant_only, count(*) filter (where mapq = 0) as mq0 from reads_v""")
-def reads_qc(v):
-    return R.reads_qc(v("reads_v"))
-
-
-SPANS = """(select chrom, start0 + s as s, start0 + e as e from reads_v join (values ('100M',0,100),('40M2I58M',0,98),('50M3D50M',0,50),('50M3D50M',53,103),('5S95M',0,95),('90M10S',0,90),('30M1D70M',0,30),('30M1D70M',31,101)) as b(c, s, e) on cigar = c where mapq >= 10 and not is_duplicate)"""
-
-
-@query(f"""select chrom, start0, end0, depth from (select chrom, start0, lead(start0) over (partition by chrom order by start0) as end0, cast(sum(d) over (partition by chrom order by start0) as bigint) as depth
- from (select chrom, p as start0, sum(d) as d from (select chrom, s as p, 1 as d from {SPANS} union all select chrom, e, -1 from {SPANS}) group by chrom, p having sum(d) <> 0)) where depth > 0""")
-def coverage_depth(v):
-    return R.coverage_depth(v("reads_v"), 10)
-
-
-@query("""with r as (select *, start0 + case cigar when '40M2I58M' then 98 when '50M3D50M' then 103 when '5S95M' then 95 when '90M10S' then 90 when '30M1D70M' then 101 else 100 end as end0 from reads_v where not is_duplicate),
- s as (select distinct chrom, pos from truth_v)
- select s.chrom, s.pos, count(qname) as dp, count(qname) filter (where mapq = 0) as mq0, count(qname) filter (where mapq >= 1 and is_proper_pair) as concordant, count(qname) filter (where mapq >= 1 and not is_proper_pair) as discordant,
- count(qname) filter (where mapq >= 1 and not is_reverse) as forward, count(qname) filter (where mapq >= 1 and is_reverse) as reverse, round(avg(mapq), 6) as mean_mq
- from s left join r on r.chrom = s.chrom and r.start0 < s.pos and s.pos <= r.end0 group by s.chrom, s.pos""")
-def site_depth(v):
-    return R.site_depth(v("reads_v"), v("truth_v").select("chrom", "pos").distinct())
-
-
 @query("""with m as (select *, row_number() over (partition by chrom, pos order by ref, alt) as k from (select distinct chrom, pos, ref, alt from calls_v where filter = 'PASS')),
  t as (select *, row_number() over (partition by chrom, pos order by ref, alt) as k from truth_v)
  select coalesce(m.chrom, t.chrom) as chrom, coalesce(m.pos, t.pos) as pos, coalesce(m.k, t.k) as k, case when m.pos is null then 'FalseNegative' when t.pos is null then 'FalsePositive' else 'Correct' end as status
@@ -264,16 +205,6 @@ def compare_callsets(v):
     return E.compare_callsets(v("calls_v").where("filter = 'PASS'"), v("truth_v"))
 
 
-@query("select chrom, pos, ref, alt, " + ", ".join(f"max(filter) filter (where caller = '{c}') as {c}" for c in CALLERS) + ", count(distinct caller) filter (where filter = 'PASS') as num from calls_v group by chrom, pos, ref, alt having count(distinct caller) filter (where filter = 'PASS') >= 1")
-def tally_samples(v):
-    return E.tally_samples(v("calls_v"), CALLERS)
-
-
-@query("select w.*, coalesce(c.filter, 'NONE') as filter from (select * from (select distinct chrom, pos, ref, alt from calls_v), (select distinct caller from calls_v)) w left join calls_v c on c.chrom = w.chrom and c.pos = w.pos and c.ref = w.ref and c.alt = w.alt and c.caller = w.caller")
-def fill_missing_samples(v):
-    return E.fill_missing_samples(v("calls_v"), CALLERS)
-
-
 @query("""select o_orderkey as site, o_custkey % 7 + o_orderkey % 2 as ref_fwd, o_orderkey % 5 + case when o_orderkey % 4 = 0 then 1 else 0 end as ref_rev,
  case when o_custkey % 3 = 0 then 2 else 0 end as alt_fwd, case when o_custkey % 3 = 0 then 0 else 1 end + o_custkey % 4 as alt_rev,
  case when o_orderkey % 4 = 0 then 0 else 1 end as gaps, case when o_custkey % 3 = 0 then 1 else 0 end as n_insertions, case when o_orderkey % 4 = 0 then 1 else 0 end as n_deletions from orders""")
@@ -291,14 +222,6 @@ def pileup_depth4(v):
     return p.select(*out)
 
 
-@query("""select site, case when filter in ('PASS', 'q1;PASS') then 1.0 else 0.0 end as pass_word, case when filter = 'PASS' then 1.0 else 0.0 end as pass_only, case when filter like '%PASS%' then 1.0 else 0.0 end as pass_within,
- case when filter like '%PASS%' and info like 'SOMATIC%' then 1.0 else 0.0 end as somatic_and_pass, case when filter like '%PASS%' or info like 'SOMATIC%' then 1.0 else 0.0 end as somatic_or_pass, case when info like 'SOMATIC%' then 1.0 else 0.0 end as somatic_flag,
- case filter when 'PASS' then 1.0 when 'Tier1' then 0.9 when 'Tier3' then 0.7 when 'Tier5' then 0.5 else 0.0 end as tiered, case when info like 'SOMATIC%' then case when filter = 'PASS' then 1.0 else 0.5 end else 0.0 end as somatic_half,
- case when info like '%Somatic%' then case when filter = 'PASS' then 1.0 when filter = 'p8;NM4' then 0.0 else 0.5 end else 0.0 end as tolerated from records_v""")
-def caller_verdicts(v):
-    return V.with_verdicts(v("records_v"), list(V.VERDICTS)).select("site", *V.VERDICTS)
-
-
 @query("""select site, case ref when 'R' then 'N' when 'AM' then 'AN' else ref end as ref, alt, case when id like '%rs5%' then 'rs5' when id like '%rs9%' then 'rs9' else '' end as rs, case when id like '%COSM7%' then 'COSM7' when id like '%COSV8%' then 'COSV8' else '' end as cos
  from records_v where not (alt = '<DEL>' and info not like '%END=%')""")
 def clean_records(v):
@@ -317,26 +240,11 @@ def fisher_strand(v):
     return v("reads_v").select("read_id", F.round(T.fisher_exact(*cells), 9).alias("two_sided"), F.round(T.fisher_exact(*cells, greater=True), 9).alias("greater"))
 
 
-@query("""with c as (select chrom, mapq, sum(case when is_reverse then 1 else 0 end) as x, sum(case when is_reverse then 0 else 1 end) as y from reads_v group by chrom, mapq),
- b as (select *, coalesce(sum(y) over (partition by chrom order by mapq rows between unbounded preceding and 1 preceding), 0) as below from c),
- s as (select chrom, cast(sum(x) as double) as n, cast(sum(y) as double) as m, sum(x * (below + y / 2.0)) as u, sum(pow(x + y, 3) - (x + y)) as t from b group by chrom)
- select chrom, cast(n as bigint) as n_alt, cast(m as bigint) as n_ref, cast(u as double) as u, round((n * m / 2 - u - 0.5) / sqrt(n * m / 12 * (n + m + 1 - t / ((n + m) * (n + m - 1)))), 6) as z from s""")
-def rank_sum_scores(v):
-    return T.rank_sums(v("reads_v"), ["chrom"], "mapq", "is_reverse").select("chrom", "n_alt", "n_ref", F.col("u").cast("double").alias("u"), F.round("z", 6).alias("z"))
-
-
-@query("""with b(cigar, s, n, q, kind, len) as (values ('100M',0,100,0,'end',null), ('40M2I58M',0,40,0,'insertion',2), ('40M2I58M',40,58,42,'end',null), ('50M3D50M',0,50,0,'deletion',-3), ('50M3D50M',50,3,null,'gap',null), ('50M3D50M',53,50,50,'end',null),
-  ('5S95M',0,95,5,'end',null), ('90M10S',0,90,0,'insertion',10), ('30M1D70M',0,30,0,'deletion',-1), ('30M1D70M',30,1,null,'gap',null), ('30M1D70M',31,70,30,'end',null)),
- s as (select distinct chrom, pos from truth_v)
- select read_id, s.chrom, s.pos, case when kind = 'gap' then 'unknown' when pos - 1 < start0 + b.s + n - 1 or kind = 'end' then 'match' else kind end as kind,
-  cast(case when kind = 'gap' then null when pos - 1 < start0 + b.s + n - 1 then 0 else len end as bigint) as indel_length, cast(case when kind <> 'gap' then q + pos - 1 - start0 - b.s end as bigint) as read_offset
- from reads_v r join b on b.cigar = r.cigar join s on s.chrom = r.chrom and start0 + b.s < pos and pos <= start0 + b.s + n""")
-def read_site_calls(v):
-    sites = v("truth_v").select("chrom", "pos").distinct()
-    return S.site_calls(v("reads_v"), sites).select("read_id", "chrom", "pos", "kind", "indel_length", "read_offset")
-
-
 @query("""select 'truth' as side, count(*) as total, count(*) filter (where exists (select 1 from calls_v c where c.chrom = t.chrom and c.pos = t.pos and c.filter = 'PASS')) as recovered from truth_v t""")
 def truth_recovery(v):
     passed = v("calls_v").where("filter = 'PASS'").select("chrom", "pos").distinct().withColumn("__hit", F.lit(True))
     return v("truth_v").join(passed, ["chrom", "pos"], "left").agg(F.lit("truth").alias("side"), F.count("*").alias("total"), F.count("__hit").alias("recovered")).select("side", "total", "recovered")
+
+
+# the other modules of queries register themselves
+from callweave.plans import caller_queries, feature_queries, file_queries, read_queries  # noqa: E402, F401

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.functions import tests_of_counts as T
+from callweave.functions import count_tests as T
 from callweave.operators import site_calls as S
 from callweave.operators import verdicts as V
 from callweave.sources import text
