@@ -100,19 +100,34 @@ def genotype(rf: Column, rr: Column, af: Column, ar: Column, hom: float = 0.85,
 
 
 def general(x: Column, digits: int = 6) -> Column:
-    """A number in the shortest of plain and scientific form with ``digits`` significant digits; null stays null."""
+    """A number in the shortest of plain and scientific form with ``digits`` significant digits; null stays null.
+
+    Each step is a function over an array of one, so that what it uses several times is computed once.
+    """
     scientific = lambda v: F.format_string(f"%.{digits - 1}e", F.abs(v))
     power = lambda text: F.regexp_extract(text, "e(.*)$", 1).try_cast("int")
-    # ties are rounded to even first, as the formatter rounds them up
-    e = power(scientific(x))
-    text = scientific(reduce(lambda a, k: a.when(e == k, F.bround(x, digits - 1 - k)), range(-3, digits), F.when(e == -4, F.bround(x, digits + 3))).otherwise(x))
-    e, mantissa = power(text), F.regexp_extract(text, "^(.*)e", 1)
-    d = F.replace(mantissa, F.lit("."), F.lit(""))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d)
-    plain = F.when(e < 0, small).when(e >= digits - 1, d).otherwise(F.concat(F.substr(d, F.lit(1), e + 1), F.lit("."), F.substr(d, e + 2)))
     bare = lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
-    shown = F.when((e < -4) | (e >= digits), F.concat(bare(mantissa), F.regexp_extract(text, "(e.*)$", 1))).otherwise(bare(plain))
-    return F.when(x.isNull(), None).when(x == 0, "0").when(x < 0, F.concat(F.lit("-"), shown)).otherwise(shown)
+
+    def rounded(s: Column) -> Column:
+        """Ties to even, as the formatter rounds them up."""
+        near = F.when(s["e"] == -4, F.bround(s["x"], digits + 3))
+        return F.struct(s["x"].alias("x"), scientific(reduce(lambda a, k: a.when(s["e"] == k, F.bround(s["x"], digits - 1 - k)), range(-3, digits), near).otherwise(s["x"])).alias("t"))
+
+    def parts(s: Column) -> Column:
+        mantissa = F.regexp_extract(s["t"], "^(.*)e", 1)
+        return F.struct(s["x"].alias("x"), power(s["t"]).alias("e"), mantissa.alias("m"), F.replace(mantissa, F.lit("."), F.lit("")).alias("d"), F.regexp_extract(s["t"], "(e.*)$", 1).alias("p"))
+
+    def shown(s: Column) -> Column:
+        e, d = s["e"], s["d"]
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d)
+        plain = F.when(e < 0, small).when(e >= digits - 1, d).otherwise(F.concat(F.substr(d, F.lit(1), e + 1), F.lit("."), F.substr(d, e + 2)))
+        text = F.when((e < -4) | (e >= digits), F.concat(bare(s["m"]), s["p"])).otherwise(bare(plain))
+        return F.when(s["x"].isNull(), None).when(s["x"] == 0, "0").when(s["x"] < 0, F.concat(F.lit("-"), text)).otherwise(text)
+
+    step = F.transform(F.array(x), lambda v: F.struct(v.alias("x"), power(scientific(v)).alias("e")))
+    for f in (rounded, parts, shown):
+        step = F.transform(step, f)
+    return F.get(step, F.lit(0))
 
 
 def reverse_complement(seq: str) -> Column:
