@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from callweave.llm import quality_rules as Q
+
 #: Lines of documents, distinct lines with their first place, and the neighbourhood of one deletion of those with 20 characters or more.
 LINE_DEDUP = r"""
 with lines as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null),
@@ -30,4 +32,35 @@ with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(te
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, r.root as component_id, s.doc_id = r.root as kept from sets s join roots r on r.a = s.doc_id
 """
 
-ORACLES = {"op3_chosen_path": NEAR_DUPLICATES, "op5_line_dedup": LINE_DEDUP}
+_LETTERS = {"lower": "a-z", "upper": "A-ZÀ-ÖØ-Þ", "digit": "0-9", "blank": r" \t-\r", "stop": r".,;:!?''\"()\-", "symbol": "#*$%&|<>"}
+_COUNT = {k: f"length(t) - length(regexp_replace(t, '[{x}]', '', 'g'))" for k, x in _LETTERS.items()}
+#: Characters beyond ASCII without those that count as upper case.
+_COUNT["other_letter"] = "length(regexp_replace(t, '[\\x00-\\x7FÀ-ÖØ-Þ]', '', 'g'))"
+#: Base counts, histograms, references of languages (the mean over all for small or unknown ones) and distances from them.
+QUALITY_RULES = rf"""
+with texts as (select row_number() over (order by doc_id) as r, doc_id, lang, coalesce(text, '') as t from documents),
+ w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from texts),
+ windows as (select r, i, hash(array_to_string(w[i:i + {Q.WINDOW_WORDS - 1}], ' ')) as h from (select r, w, unnest(range(1, len(w) - {Q.WINDOW_WORDS - 2})) as i from w)),
+ again as (select r, i from windows qualify count(*) over (partition by r, h) > 1), covered as (select r, count(distinct i + j) as n from again, range({Q.WINDOW_WORDS}) s(j) group by r),
+ lines as (select r, unnest(string_split(t, chr(10))) as line from texts), dups as (select r, count(*) - count(distinct line) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+ base as (select w.r, doc_id, lang, t, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+   coalesce(d.n, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words, length(t) as n_chars from w left join dups d on d.r = w.r left join covered c on c.r = w.r),
+ judged as (select *, n_words < {Q.MIN_BASE_WORDS} or 100 * n_repeat_words > {Q.MAX_REPEATED_PERCENT} * n_words as base_failed from base),
+ plain as (select r, lower(trim(unnest(w), '.,;:!?''"()-')) as x from w), vocabulary as (select unnest({Q.WORDS!r}) as x, generate_subscripts({Q.WORDS!r}, 1) as k),
+ counts as (select r, 'classes' as kind, k, c from (select r, {', '.join(f'{e} as {k}' for k, e in _COUNT.items())} from texts) unpivot (c for k in ({', '.join(_COUNT)}))
+  union all select r, 'classes', 'other', length(t) - ({' + '.join(_COUNT.values())}) from texts
+  union all select p.r, 'common', coalesce(cast(v.k as varchar), 'rest'), count(*) from plain p left join vocabulary v on v.x = p.x group by all),
+ shares as (select r, kind, k, c / sum(c) over (partition by r, kind) as p from counts qualify sum(c) over (partition by r, kind) > 0),
+ fair as (select r, coalesce(lang, '') as lang from judged where not base_failed and n_words >= {Q.MIN_WORDS} and n_chars >= {Q.MIN_CHARS}), sizes as (select lang, count(*) as n from fair group by lang),
+ by_lang as (select f.lang, kind, k, sum(p) / any_value(z.n) as y from shares join fair f on f.r = shares.r join sizes z on z.lang = f.lang where z.n >= {Q.MIN_REFERENCE_DOCS} and f.lang <> '' group by f.lang, kind, k),
+ overall as (select kind, k, sum(p) / (select count(*) from fair) as y from shares join fair f on f.r = shares.r group by kind, k),
+ refs as (select j.r, o.kind, o.k, o.y from judged j, overall o where coalesce(j.lang, '') not in (select lang from by_lang) union all select j.r, b.kind, b.k, b.y from judged j join by_lang b on b.lang = j.lang),
+ terms as (select coalesce(s.r, f.r) as r, coalesce(s.kind, f.kind) as kind, coalesce(s.p, 0) as x, coalesce(f.y, 0) as y from shares s full join refs f on f.r = s.r and f.kind = s.kind and f.k = s.k),
+ distances as (select r, kind, sqrt(greatest(0, sum(case when x > 0 then x * log2(2 * x / (x + y)) else 0 end + case when y > 0 then y * log2(2 * y / (x + y)) else 0 end) / 2)) as d, sum(x) as whole, sum(y) as known from terms group by r, kind),
+ far as (select r, max(d) filter (where kind = 'classes' and whole > 0 and known > 0) as cd, max(d) filter (where kind = 'common' and whole > 0 and known > 0) as wd from distances group by r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 9) as class_distance, round(wd, 9) as word_distance,
+ not base_failed and not coalesce((n_chars >= {Q.MIN_CHARS} and cd > {Q.CLASS_LIMIT[0]} + {Q.CLASS_LIMIT[1]} / sqrt(n_words)) or (n_words >= {Q.MIN_WORDS} and wd > {Q.WORD_LIMIT[0]} + {Q.WORD_LIMIT[1]} / sqrt(n_words)), false) as kept
+from judged j left join far f on f.r = j.r
+"""
+
+ORACLES = {"op2_quality_rules": QUALITY_RULES, "op3_chosen_path": NEAR_DUPLICATES, "op5_line_dedup": LINE_DEDUP}

@@ -29,7 +29,8 @@ def op1_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callweave.llm.quality_rules import quality_rules
 
-    return quality_rules(_table(spark, sf_dir, "documents"))
+    judged = quality_rules(_table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 9) for c in ("class_distance", "word_distance")})
 
 
 def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
