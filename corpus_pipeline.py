@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from callweave.llm import bpe_codec, chosen_path, line_crf, line_dedup, soft_mixing
 from callweave.llm.common import shared_folder
 
-#: Weights of the mixing stage; low quality has gone before.
-MIX_WEIGHTS = {"low": 0.0, "good": 0.95, "toxic": 0.05}
+#: Weights of the mixing stage; low quality has gone before.  They lie near the shares that posteriors give such a corpus:
+#: far from them, few documents with extreme posteriors would be repeated a hundred times.
+MIX_WEIGHTS = {"low": 0.0, "good": 0.9, "toxic": 0.1}
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
