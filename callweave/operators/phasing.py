@@ -53,7 +53,8 @@ def phase_variants(calls: DataFrame, reads: DataFrame, threshold: int = 1, refer
     base = F.when(F.col("kind") != "unknown", F.substr(F.col("seq"), F.col("read_offset").cast("int") + 1, F.lit(1)))
     met = site_calls(kept, wanted).withColumn("__i", F.array_position("options", base))
     read = ["qname", "flag", "start0", "cigar"]
-    shown = met.where("__i > 0").groupBy(*cluster, *read).agg(F.array_sort(F.collect_list(F.struct("pos", "__i"))).alias("__h"))
+    # other bases are left out by the aggregation: as a filter they would be judged before the reads' spans
+    shown = met.groupBy(*cluster, *read).agg(F.array_sort(F.collect_list(F.when(F.col("__i") > 0, F.struct("pos", "__i")))).alias("__h"))
     shown = shown.where("size(__h) = last - first + 1").groupBy(*cluster, F.transform("__h", lambda x: x["__i"]).alias("hap")).agg(F.count("*").alias("n"))
     told = shown.join(gathered, cluster)
     letters = F.array_join(F.transform("hap", lambda i, k: F.get(F.get("own", k)["options"], i.cast("int") - 1)), "")
