@@ -27,7 +27,8 @@ CONTIG = 20_400
 def _reference(v) -> DataFrame:
     """Tiles of the contigs of the reads, as a stored table."""
     base = BASE.format(pos="p", c="cast(substr(chrom, 4) as int)")
-    return settle(tiles(v("reads_v").select("chrom").distinct().select("chrom", F.expr(f"array_join(transform(sequence(1, {CONTIG}), p -> {base}), '')").alias("sequence"))))
+    contigs = settle(v("reads_v").select("chrom").distinct())  # or their bases would be filtered, and so made, for every read
+    return settle(tiles(contigs.select("chrom", F.expr(f"array_join(transform(sequence(1, {CONTIG}), p -> {base}), '')").alias("sequence"))))
 
 
 def _sources(v, paired: bool = True) -> W.Sources:
