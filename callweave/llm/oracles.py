@@ -63,4 +63,21 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged j left join far f on f.r = j.r
 """
 
-ORACLES = {"op2_quality_rules": QUALITY_RULES, "op3_chosen_path": NEAR_DUPLICATES, "op5_line_dedup": LINE_DEDUP}
+#: A table of crc32 by its rule, hashed words, gains of buckets, weights, noise and the places of the highest scores.
+IMPORTANCE_DRAW = r"""
+with crc as (select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
+ texts as (select doc_id, text, 'd' as side from documents union all select null, text, 'b' from benchmark),
+ words as (select doc_id, side, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+ spelled as (select w, hex(encode(w)) as x from (select distinct unnest(w) as w from words)),
+ hashed as (select w, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(length(x) // 2), lambda i: cast('0x' || x[2 * i + 1:2 * i + 2] as bigint))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 as bucket from spelled, crc),
+ found as (select doc_id, side, bucket from (select doc_id, side, unnest(w) as w from words) join hashed using (w)),
+ counts as (select bucket, count(*) filter (where side = 'd') as s, count(*) filter (where side = 'b') as t from found group by bucket),
+ totals as (select cast(coalesce(sum(s), 0) as double) as s, cast(coalesce(sum(t), 0) as double) as t from counts),
+ gains as (select bucket, cast(floor(1000 * ln((c.t + 1) * (z.s + 10000) / ((c.s + 1) * (z.t + 10000)))) as bigint) as gain from counts c, totals z),
+ weighed as (select doc_id, count(*) as n, cast(sum(gain) as bigint) as weight from found join gains using (bucket) where side = 'd' group by doc_id),
+ scored as (select d.doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || sha256('2024:' || d.doc_id)[1:8] as bigint) + 0.5) / 4294967296.0))) as bigint) as score from documents d left join weighed w on w.doc_id = d.doc_id),
+ placed as (select doc_id, row_number() over (order by score desc, doc_id) as rank from scored where n_features >= 20 qualify rank <= 10 * count(*) over () // 100)
+select s.doc_id, n_features, weight, score, rank from scored s left join placed p on p.doc_id = s.doc_id
+"""
+
+ORACLES = {"op2_quality_rules": QUALITY_RULES, "op3_chosen_path": NEAR_DUPLICATES, "op5_line_dedup": LINE_DEDUP, "op13_importance_draw": IMPORTANCE_DRAW}

@@ -83,6 +83,12 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return soft_mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callweave.llm.importance_draw import draw
+
+    return draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, ngrams=1, buckets=10_000, min_words=20, seed=2024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_tree": op1_bpe_tree,
     "op2_quality_rules": op2_quality_rules,
@@ -94,4 +100,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_forest": op8_prefix_forest,
     "op9_best_fit_shards": op9_best_fit_shards,
     "op10_soft_mixing": op10_soft_mixing,
+    "op13_importance_draw": op13_importance_draw,
 }
