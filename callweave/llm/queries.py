@@ -83,6 +83,12 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return soft_mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callweave.llm.token_alignment import align_tokens
+
+    return align_tokens(_table(spark, sf_dir, "documents"), _vocabulary(), _vocabulary("piece_bpe_32k.model"))
+
+
 def op13_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callweave.llm.importance_draw import draw
 
@@ -100,5 +106,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_forest": op8_prefix_forest,
     "op9_best_fit_shards": op9_best_fit_shards,
     "op10_soft_mixing": op10_soft_mixing,
+    "op11_token_alignment": op11_token_alignment,
     "op13_importance_draw": op13_importance_draw,
 }
