@@ -89,6 +89,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(_table(spark, sf_dir, "documents"), _vocabulary(), _vocabulary("piece_bpe_32k.model"))
 
 
+def op12_host_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callweave.llm.host_suffix import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callweave.llm.importance_draw import draw
 
@@ -107,5 +113,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_shards": op9_best_fit_shards,
     "op10_soft_mixing": op10_soft_mixing,
     "op11_token_alignment": op11_token_alignment,
+    "op12_host_suffix": op12_host_suffix,
     "op13_importance_draw": op13_importance_draw,
 }
