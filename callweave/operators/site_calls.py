@@ -17,14 +17,13 @@ def site_calls(reads: DataFrame, sites: DataFrame) -> DataFrame:
     kind: match, insertion, deletion, or unknown inside a deletion.  Clips count as insertions.  nearest is the distance
     to another indel or clip if it is at most NEAR, else infinity.  The last aligned base has a null length and distance.
     """
-    met = reads_at_sites(reads, sites)
     ops = F.filter(parse_cigar(), lambda x: ~x["op"].isin("H", "P"))
-    met = met.withColumn("__ops", F.transform(ops, lambda x: F.struct(x["n"].alias("n"), F.when(x["op"].isin("I", "S"), "ins").when(x["op"].isin("D", "N"), "del").otherwise("match").alias("k"))))
-    laid = """transform(__ops, (x, i) -> named_struct('i', i, 'n', x.n, 'k', x.k,
-        'r', start0 + aggregate(slice(__ops, 1, i), 0L, (a, y) -> a + if(y.k = 'ins', 0, y.n)),
-        'q', aggregate(slice(__ops, 1, i), 0L, (a, y) -> a + if(y.k = 'del', 0, y.n)),
-        'p', aggregate(slice(__ops, 1, i), 0L, (a, y) -> a + y.n)))"""
-    met = met.withColumn("__laid", F.expr(laid))
+    laid = """aggregate(__ops, named_struct('r', cast(start0 as bigint), 'q', 0L, 'p', 0L, 'o', cast(array() as array<struct<i:int,n:int,k:string,r:bigint,q:bigint,p:bigint>>)),
+        (a, x) -> named_struct('r', a.r + if(x.k = 'ins', 0, x.n), 'q', a.q + if(x.k = 'del', 0, x.n), 'p', a.p + x.n,
+        'o', concat(a.o, array(named_struct('i', size(a.o), 'n', x.n, 'k', x.k, 'r', a.r, 'q', a.q, 'p', a.p))))).o"""
+    kinds = F.transform(ops, lambda x: F.struct(x["n"].alias("n"), F.when(x["op"].isin("I", "S"), "ins").when(x["op"].isin("D", "N"), "del").otherwise("match").alias("k")))
+    # laid out before the join, so once a read and not once a site
+    met = reads_at_sites(reads.withColumn("__ops", kinds).withColumn("__laid", F.expr(laid)).drop("__ops"), sites)
     met = met.withColumn("__at", F.expr("get(filter(__laid, x -> x.k <> 'ins' and x.r <= pos - 1 and pos - 1 < x.r + x.n), 0)"))
     met = met.withColumn("__rest", F.expr("slice(__laid, __at.i + 2, size(__laid))")).withColumn("__next", F.expr("get(__rest, 0).k"))
     # the length of the run of equal operations that follows
@@ -40,4 +39,4 @@ def site_calls(reads: DataFrame, sites: DataFrame) -> DataFrame:
     far = F.lit(float("inf"))
     near = F.least(*[F.when(d <= NEAR, d.cast("double")).otherwise(far) for d in (left, right)])
     out = met.withColumn("nearest", F.when(F.col("indel_length").isNotNull(), near))
-    return out.drop("__ops", "__laid", "__at", "__rest", "__next", "__run", "__edge", "__p", "__s")
+    return out.drop("__laid", "__at", "__rest", "__next", "__run", "__edge", "__p", "__s")
