@@ -6,30 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Width of the bins in which overlaps are looked for.
-BIN = 1024
 #: Width of the bins in which a contig's intervals or positions are worked on first.
 MERGE_BIN = 1 << 16
-#: Logarithms of the bin widths of which an interval takes the smallest that holds it whole.
+#: Logarithms of the widths of nested bins; an interval lives in the smallest bin that holds it whole.
 LEVELS = (10, 13, 16, 19, 22, 25, 28, 31, 62)
+#: Into how many parts the bins of each level are dealt, as many rows may look for partners in wide ones.
+PARTS = {19: 4, 22: 16} | dict.fromkeys(LEVELS[5:], 64)
 
 
-def _binned(df: DataFrame, start: Column, end: Column, width: int) -> DataFrame:
-    last = F.greatest(F.floor(start / width), F.floor((end - 1) / width))
-    return df.withColumn("__bin", F.explode(F.sequence(F.floor(start / width), last)))
+def _keys(start: Column, end: Column, up: int) -> Column:
+    """Where an interval is, and where it looks for wider partners: structs (side, level, bin, part).
+
+    Two intervals overlap only if the bin of one is the bin of the other or lies inside it.  So an interval goes to its own bin, to all parts
+    of it, as ``side`` up, and to one part of each bin around it as the other side; equal bins count for the side 0 alone.
+    """
+    first, last = start.cast("long"), F.greatest(start, end - 1).cast("long")
+    levels = F.array(*[F.lit(s) for s in LEVELS])
+    own = F.get(F.filter(levels, lambda s: F.call_function("shiftright", first, s) == F.call_function("shiftright", last, s)), F.lit(0))
+    parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k in PARTS.items() for x in k]), own), F.lit(1))
+    at = lambda side, s, part: F.struct(F.lit(side).alias("side"), s.alias("level"), F.call_function("shiftright", first, s).alias("bin"), part.cast("int").alias("part"))
+    around = [F.when((own <= s) if up == 0 else (own < s), at(up, F.lit(s), F.pmod(F.shiftright(first, 10), F.lit(PARTS.get(s, 1))))) for s in LEVELS]
+    return F.concat(F.transform(F.sequence(F.lit(0), parts - 1), lambda p: at(1 - up, own, p)), F.filter(F.array(*around), lambda x: x.isNotNull()))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """All pairs of overlapping rows; the right side's interval comes out as r_start0 and r_end0.
 
-    Both sides are spread over bins and joined on (chrom, bin); a pair is kept only in the bin that holds the larger
-    start, so it comes out once.  Deep bins are split at run time, as adaptive execution does with skewed joins.
+    Both sides are looked up in nested bins (``_keys``), so a row costs a few dozen keys at most, however wide it is, and each
+    pair meets once.
     """
     right = right.withColumnsRenamed({"start0": "r_start0", "end0": "r_end0"})
-    a = _binned(left, F.col("start0"), F.col("end0"), width)
-    b = _binned(right, F.col("r_start0"), F.col("r_end0"), width)
-    met = a.join(b, ["chrom", "__bin"]).where((F.col("start0") < F.col("r_end0")) & (F.col("r_start0") < F.col("end0")))
-    return met.where(F.col("__bin") == F.floor(F.greatest("start0", "r_start0") / width)).drop("__bin")
+    a = left.withColumn("__bin", F.explode(_keys(F.col("start0"), F.col("end0"), 0)))
+    b = right.withColumn("__bin", F.explode(_keys(F.col("r_start0"), F.col("r_end0"), 1)))
+    return a.join(b, ["chrom", "__bin"]).where((F.col("start0") < F.col("r_end0")) & (F.col("r_start0") < F.col("end0"))).drop("__bin")
 
 
 def variant_footprint(variants: DataFrame) -> DataFrame:
@@ -40,17 +49,15 @@ def variant_footprint(variants: DataFrame) -> DataFrame:
 def touching(rows: DataFrame, regions: DataFrame, how: str, start: str = "start0", end: str = "end0") -> DataFrame:
     """Rows that overlap a region (``left_semi``) or none (``left_anti``), as they are.
 
-    A row is in one bin only, the smallest that holds it whole, and a region in all bins of every width that it
-    overlaps; so rows are neither multiplied nor told apart by their values, and nulls overlap nothing.
+    Distinct spans are looked up in nested bins; rows then meet the spans found on equal ends, so they are neither
+    multiplied nor told apart by their other values, and nulls overlap nothing.
     """
-    first, last = F.col(start).cast("long"), F.greatest(F.col(start), F.col(end) - 1).cast("long")
-    level = F.coalesce(*[F.when(F.shiftright(first, s) == F.shiftright(last, s), F.struct(F.lit(s).alias("s"), F.shiftright(first, s).alias("b"))) for s in LEVELS])
-    r_start, r_last = F.col("start0").cast("long"), (F.col("end0") - 1).cast("long")
-    at_level = lambda s: F.transform(F.sequence(F.shiftright(r_start, s), F.shiftright(r_last, s)), lambda b: F.struct(F.lit(s).alias("s"), b.alias("b")))
-    spread = F.flatten(F.array(*[at_level(s) for s in LEVELS]))
-    bins = regions.where("start0 < end0").select(F.col("chrom").alias("r_chrom"), F.col("start0").alias("r_start0"), F.col("end0").alias("r_end0"), F.explode(spread).alias("r_bin"))
-    hit = (F.col("chrom") == F.col("r_chrom")) & (F.col("__bin") == F.col("r_bin")) & (F.col(start) < F.col("r_end0")) & (F.col("r_start0") < F.col(end))
-    return rows.withColumn("__bin", level).join(bins, hit, how).drop("__bin")
+    spans = rows.select(F.col("chrom").alias("s_chrom"), F.col(start).alias("s_start0"), F.col(end).alias("s_end0")).distinct()
+    looking = spans.withColumn("s_bin", F.explode(_keys(F.col("s_start0"), F.col("s_end0"), 0)))
+    held = regions.where("start0 < end0").select("chrom", "start0", "end0", F.explode(_keys(F.col("start0"), F.col("end0"), 1)).alias("r_bin"))
+    hit = (F.col("s_chrom") == F.col("chrom")) & (F.col("s_bin") == F.col("r_bin")) & (F.col("s_start0") < F.col("end0")) & (F.col("start0") < F.col("s_end0"))
+    found = looking.join(held, hit, "left_semi").select("s_chrom", "s_start0", "s_end0").distinct()
+    return rows.join(found, (rows["chrom"] == F.col("s_chrom")) & (rows[start] == F.col("s_start0")) & (rows[end] == F.col("s_end0")), how)
 
 
 def _touched(variants: DataFrame, regions: DataFrame, how: str) -> DataFrame:

@@ -1,26 +1,23 @@
-"""Classifiers of variants on feature rows: boosted trees of Spark ML, their importances, and repeated hold-outs."""
+"""Classifiers of variants on feature rows: gradient boosting and AdaBoost, their importances, and repeated hold-outs."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions.expressions import SUBSTITUTIONS
+from callweave.operators.trees import Ensemble, doubles, grow
 
 LABEL = "TrueVariant_or_False"
 #: Columns that no model is trained on.
 NON_FEATURES = ("CHROM", "POS", "ID", "REF", "ALT", "Strelka_QSS", "Strelka_TQSS", "if_COSMIC", "COSMIC_CNT", LABEL)
-#: How many trees are trained, and how many of them score.
-TRAINED_TREES, SCORING_TREES = 500, 100
-#: What stands for a missing value: below all others, so that a split can set missing values apart.
-MISSING = -1e9
+#: Trees trained, trees that score, and levels of a tree, by loss.
+TRAINED_TREES, SCORING_TREES, DEPTHS = 500, {"logistic": 100, "exponential": 300}, {"logistic": 8, "exponential": 16}
 
 
 def feature_columns(features: DataFrame, excluded: tuple[str, ...] = ()) -> list[str]:
@@ -29,86 +26,63 @@ def feature_columns(features: DataFrame, excluded: tuple[str, ...] = ()) -> list
     return [f.name for f in features.schema.fields if f.name not in gone and f.dataType.simpleString() in ("int", "bigint", "double", "float")]
 
 
-def _prepared(features: DataFrame, columns: list[str]) -> DataFrame:
-    """Doubles without nulls, and the six kinds of base changes."""
+def _prepared(features: DataFrame) -> DataFrame:
+    """``features`` with the six kinds of base changes, as a model sees them."""
     change = F.upper(F.concat("REF", "ALT"))
-    kinds = {f"__{k}": F.coalesce(change.isin(*v), F.lit(False)).cast("double") for k, v in SUBSTITUTIONS.items()}
-    return features.withColumns({f"__{c}": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(MISSING)) for c in columns} | kinds)
+    return features.withColumns({k: F.coalesce(change.isin(*v), F.lit(False)).cast("double") for k, v in SUBSTITUTIONS.items()})
 
 
 @dataclass
 class TreeClassifier:
-    """A fitted pipeline with the columns that it was trained on."""
+    """Grown trees with the columns that they were trained on."""
 
-    pipeline: PipelineModel
-    columns: list[str]
+    model: Ensemble
 
     @property
-    def trees(self):
-        return self.pipeline.stages[-1]
-
-    def predict(self, features: DataFrame, iterations: int | None = SCORING_TREES) -> DataFrame:
-        """``features`` with SCORE, the probability of a true variant by the first ``iterations`` trees (all, if None)."""
-        rows = self.pipeline.transform(_prepared(features, self.columns))
-        score = vector_to_array("__probability")[1]
-        if iterations is not None and iterations < self.trees.getNumTrees:
-            weighted = list(zip(self.trees.trees, self.trees.treeWeights, strict=True))[:iterations]
-            leaves = [[w * p for p in _leaf_values(t)] for t, w in weighted]
-            table = features.sparkSession.createDataFrame([(leaves,)], "__values array<array<double>>")
-            met = F.zip_with(F.slice(vector_to_array("__leaves"), 1, iterations), "__values", lambda leaf, values: F.get(values, leaf.cast("int")))
-            rows = rows.join(F.broadcast(table))  # one row
-            score = 1 / (1 + F.exp(-2 * F.aggregate(met, F.lit(0.0), lambda a, x: a + x)))
-        return rows.withColumn("SCORE", score).select(*features.columns, "SCORE")
+    def columns(self) -> list[str]:
+        return [c for c in self.model.features if c not in SUBSTITUTIONS]
 
-    def importance(self) -> DataFrame:
-        """Each used feature's share of the gain (FEATURE, GAIN) and how many splits use it (WEIGHT)."""
-        names = [*self.columns, *SUBSTITUTIONS]
-        used = [0] * len(names)
-        for tree in self.trees.trees:
-            for node in _nodes(tree._call_java("rootNode")):
-                if node.subtreeDepth() > 0:
-                    used[node.split().featureIndex()] += 1
-        gains = self.trees.featureImportances.toArray().tolist()
-        rows = [(n, g, u) for n, g, u in sorted(zip(names, gains, used, strict=True)) if u]
-        return SparkSession.active().createDataFrame(rows, "FEATURE string, GAIN double, WEIGHT long")
+    def predict(self, features: DataFrame, iterations: int | None = None) -> DataFrame:
+        """``features`` with SCORE, the probability of a true variant by the first ``iterations`` trees.
 
-    def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(path)
+        Unless given, these are as many as the reference pipelines score with; a null or NaN goes the way that training found better.
+        """
+        model, first = self.model, SCORING_TREES[self.model.loss] if iterations is None else iterations
+        names = model.features
+        rows = _prepared(features.withColumn("__row", F.struct("*"))).select("__row", *[F.col(f"`{n}`").cast("double").alias(f"f{i}") for i, n in enumerate(names)])
 
-    @classmethod
-    def load(cls, path: str) -> TreeClassifier:
-        pipeline = PipelineModel.load(path)
-        inputs = [c.removeprefix("__") for c in pipeline.stages[0].getInputCols()]
-        return cls(pipeline, [c for c in inputs if c not in SUBSTITUTIONS])
+        def score(batches: Iterable[pa.RecordBatch]):
+            for batch in batches:
+                given = model.probability(model.binned(doubles(batch, [f"f{i}" for i in range(len(names))])), first)
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__row")), pa.array(given)], ["__row", "SCORE"])
 
+        scored = rows.mapInArrow(score, f"__row {rows.schema['__row'].dataType.simpleString()}, SCORE double")
+        return scored.select("__row.*", "SCORE")
 
-def _nodes(node):
-    """A tree's nodes, each before those below it, left before right."""
-    yield node
-    if node.subtreeDepth() > 0:
-        yield from _nodes(node.leftChild())
-        yield from _nodes(node.rightChild())
+    def importance(self) -> DataFrame:
+        """Each used feature's mean gain, number of splits (WEIGHT), mean cover, total gain and total cover."""
+        return SparkSession.active().createDataFrame(self.model.importance(), "FEATURE string, GAIN double, WEIGHT long, COVER double, TOTAL_GAIN double, TOTAL_COVER double")
 
+    def save(self, path: str) -> None:
+        SparkSession.active().createDataFrame([(self.model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
-def _leaf_values(tree) -> list[float]:
-    """Predictions of a tree's leaves in the order of their indices."""
-    return [float(n.prediction()) for n in _nodes(tree._call_java("rootNode")) if n.subtreeDepth() == 0]
+    @classmethod
+    def load(cls, path: str) -> TreeClassifier:
+        return cls(Ensemble.from_json(SparkSession.active().read.text(path, wholetext=True).first()[0]))
 
 
-def train_classifier(tables: list[DataFrame], rounds: int = TRAINED_TREES, depth: int = 8, seed: int = 0, excluded: tuple[str, ...] = (), **options: float) -> TreeClassifier:
-    """Boosted trees for a logistic loss on labelled feature tables; rows without a label are left out.
+def train_classifier(tables: list[DataFrame], rounds: int = TRAINED_TREES, depth: int | None = None, excluded: tuple[str, ...] = (), loss: str = "logistic", **options: float) -> TreeClassifier:
+    """Boosted trees on labelled feature tables; rows without a label are left out.
 
-    Both classes must be there.  Columns that only some tables have are null in the others.
+    ``loss``: ``logistic`` for gradient boosting (8 levels), ``exponential`` for AdaBoost (16).  Both classes must be there.  Columns that only some
+    tables have are null in the others; nulls and NaN are missing values, for which every split learns a side.
     """
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).where(F.col(LABEL).isin(0, 1))
     seen = {r[0] for r in every.select(F.col(LABEL).cast("int")).distinct().collect()}
     if seen != {0, 1}:
         raise ValueError("training needs both true and false variants")
     columns = feature_columns(every, excluded)
-    inputs = [f"__{c}" for c in (*columns, *SUBSTITUTIONS)]
-    trees = GBTClassifier(labelCol=LABEL, featuresCol="__features", predictionCol="__prediction", leafCol="__leaves", maxIter=rounds, maxDepth=depth, seed=seed, **options)
-    trees = trees.setProbabilityCol("__probability").setRawPredictionCol("__raw")
-    return TreeClassifier(Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="__features"), trees]).fit(_prepared(every, columns)), columns)
+    return TreeClassifier(grow(_prepared(every), [*columns, *SUBSTITUTIONS], LABEL, loss, rounds, DEPTHS[loss] if depth is None else depth, **options))
 
 
 def score_metrics(scored: DataFrame, passes: float = 0.5, rejects: float = 0.1) -> DataFrame:
@@ -127,6 +101,6 @@ def repeated_holdout(features: DataFrame, times: int = 10, seed: int = 0, **opti
     rows = []
     for k in range(times):
         half = F.pmod(F.xxhash64(F.lit(seed + k), "CHROM", "POS", "REF", "ALT"), F.lit(2)) == 0
-        model = train_classifier([features.where(half)], seed=seed + k, **options)
+        model = train_classifier([features.where(half)], **options)
         rows.append(score_metrics(model.predict(features.where(~half))).withColumn("round", F.lit(k)))
     return reduce(lambda a, b: a.unionByName(b), rows)

@@ -213,6 +213,13 @@ def feature_importance(v):
     return M.train_classifier([settle(_single(v))], rounds=10, depth=4).importance()
 
 
+@query()
+def adaboost_scores(v):
+    """AdaBoost of 10 trees of 4 levels on the single-sample feature rows, and its scores."""
+    rows = settle(_single(v))
+    return M.train_classifier([rows], rounds=10, depth=4, loss="exponential").predict(rows).select("CHROM", "POS", "REF", "ALT", M.LABEL, "SCORE")
+
+
 @query()
 def holdout_metrics(v):
     """Precision, sensitivity and F1 of halves scored by models of the other half, twice."""
