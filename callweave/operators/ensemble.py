@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from callweave.functions.expressions import general
+from callweave.storage import settle
 
 KEY = ["chrom", "pos", "ref", "alt"]
 
@@ -75,12 +76,25 @@ def subtract_callers(features: DataFrame, gone: list[str], callers: list[str]) -
 
 
 def caller_combinations(calls: DataFrame, truth: DataFrame, callers: list[str]) -> DataFrame:
-    """For every non-empty set of callers (a bit mask): the calls any of them passes, and how many are true."""
+    """For every non-empty set of callers (a bit mask): the calls any of them passes, and how many are true.
+
+    Calls that no member of a set passes are those whose own callers lie outside it.  These are sums over subsets: one
+    pass for each caller adds the sums of masks without it to those with it, so no call meets each set.
+    """
     bit = F.element_at(F.create_map(*[x for i, c in enumerate(callers) for x in (F.lit(c), F.lit(1 << i))]), F.col("caller"))
     masks = calls.where(default_verdict() == 1).groupBy(*KEY).agg(F.bit_or(bit).alias("mask"))
-    by_mask = label_truth(masks, truth).groupBy("mask").agg(F.count("*").alias("n"), F.sum("is_true").alias("t"))
-    sets = by_mask.withColumn("callers", F.explode(F.sequence(F.lit(1), F.lit((1 << len(callers)) - 1)))).where("mask & callers <> 0")
-    return sets.groupBy("callers").agg(F.sum("n").alias("calls"), F.sum("t").alias("true_calls"))
+    by_mask = settle(label_truth(masks.where("mask is not null"), truth).groupBy("mask").agg(F.count("*").alias("n"), F.sum("is_true").alias("t")))
+    everything = (1 << len(callers)) - 1
+    below = by_mask
+    for i in range(len(callers)):
+        mask = F.col("mask")
+        below = below.withColumn("mask", F.explode(F.when(mask.bitwiseAND(1 << i) == 0, F.array(mask, mask.bitwiseOR(F.lit(1 << i)))).otherwise(F.array(mask))))
+        below = below.groupBy("mask").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    whole = by_mask.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"), F.sum("t").alias("all_t"))
+    sets = calls.sparkSession.range(1, everything + 1).select(F.col("id").cast("int").alias("callers"), (F.lit(everything) - F.col("id")).cast("int").alias("mask"))
+    found = sets.join(below, "mask", "left").join(whole)  # one row
+    found = found.select("callers", (F.col("all_n") - F.coalesce("n", F.lit(0))).alias("calls"), (F.col("all_t") - F.coalesce("t", F.lit(0))).alias("true_calls"))
+    return found.where("calls > 0")
 
 
 def compare_callsets(mine: DataFrame, truth: DataFrame) -> DataFrame:

@@ -132,15 +132,34 @@ def running(rows: DataFrame, at: str, by: str = "chrom", step: str | None = None
     return out.drop("__bin", "__step", "__lead", "__part", "__base", "__after")
 
 
+#: Labels that fit into one number as bits.
+MOST_LABELS = 62
+
+
 def count_loci(regions: DataFrame, contigs: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """Segments between all boundaries of the labelled, merged region sets: how many sets cover each, and which.
 
     Covers [0, size) of every contig that has a region; uncovered segments have labels '.'.  Labels come in the order of
-    ``labels``, else sorted.
+    ``labels``, else sorted.  A label is a bit that its merged regions switch on and off, so a running sum of the switches is
+    the set that covers a segment; with more labels than bits, segments and regions are joined.
     """
     merged = merge_intervals(regions, ("label", "chrom"))
     named = contigs.join(merged.select("chrom").distinct(), "chrom", "left_semi")
-    edges = merged.select("chrom", F.explode(F.array("start0", "end0")).alias("at")).unionByName(named.select("chrom", F.explode(F.array(F.lit(0).cast("long"), F.col("size"))).alias("at"))).distinct()
+    names = [r[0] for r in regions.select("label").distinct().limit(MOST_LABELS + 1).collect() if r[0] is not None]
+    ends = named.select("chrom", F.explode(F.array(F.lit(0).cast("long"), F.col("size"))).alias("at"), F.lit(0).cast("long").alias("d"))
+    if len(names) > MOST_LABELS:
+        return _joined_loci(merged, ends, labels)
+    said = [*(x for x in labels or [] if x in names), *sorted(x for x in names if x not in (labels or []))]
+    bit = F.coalesce(*[F.when(F.col("label") == x, F.lit(1 << i)) for i, x in enumerate(said)], F.lit(0)).cast("long")
+    steps = merged.select("chrom", F.explode(F.array(F.struct(F.col("start0").alias("at"), bit.alias("d")), F.struct(F.col("end0").alias("at"), (-bit).alias("d")))).alias("x")).select("chrom", "x.at", "x.d")
+    net = steps.unionByName(ends).groupBy("chrom", "at").agg(F.sum("d").alias("d"))
+    segments = running(net, "at", step="d").where("next is not null").select("chrom", F.col("at").alias("start0"), F.col("next").alias("end0"), F.col("total").cast("long").alias("__on"))
+    told = F.array_compact(F.array(*[F.when(F.col("__on").bitwiseAND(F.lit(1 << i)) != 0, F.lit(x)) for i, x in enumerate(said) if labels is None or x in labels])) if said else F.array().cast("array<string>")
+    return segments.select("chrom", "start0", "end0", F.bit_count("__on").cast("long").alias("n_sets"), F.when(F.col("__on") == 0, ".").otherwise(F.array_join(told, ",")).alias("labels"))
+
+
+def _joined_loci(merged: DataFrame, ends: DataFrame, labels: list[str] | None) -> DataFrame:
+    edges = merged.select("chrom", F.explode(F.array("start0", "end0")).alias("at")).unionByName(ends.select("chrom", "at")).distinct()
     segments = running(edges, "at").where("next is not null").select("chrom", F.col("at").alias("start0"), F.col("next").alias("end0"))
     found = F.array_sort(F.collect_set("label"))
     ordered = found if labels is None else F.array_intersect(F.array(*[F.lit(x) for x in labels]), found)
