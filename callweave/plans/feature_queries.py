@@ -110,46 +110,54 @@ def info_to_sample(v):
 
 
 def _kept(v) -> dict[str, DataFrame]:
-    rows = C.records(v)
-    return {c: rows.where(F.col("caller") == c).drop("caller") for c in ("MuTect2", "VarScan2", "Caller_1")}
+    rows = settle(C.records(v))
+    return {c: rows.where(F.col("caller") == c).drop("caller") for c in sorted(C.SUPPLIED)}
+
+
+def _both_kinds(run, v, paired: bool, specs) -> DataFrame:
+    made = [run(_kept(v), _sources(v, paired), kind, specs)[1].withColumn("kind", F.lit(kind)) for kind in ("snv", "indel")]
+    return made[0].unionByName(made[1])
 
 
 @query()
 def run_paired(v):
-    """Classified indels out of the raw records of three callers."""
-    return W.run_paired(_kept(v), _sources(v), "indel", C.SPECS)[1]
+    """Classified records of both kinds out of the raw records of all callers."""
+    return _both_kinds(W.run_paired, v, True, C.SPECS)
 
 
 @query()
 def run_single(v):
-    """Classified SNVs out of the raw records of three callers, for the tumor alone."""
-    return W.run_single(_kept(v), _sources(v, False), "snv", [*A.SINGLE, A.arbitrary(1)])[1]
+    """Classified records of both kinds out of the raw records of all callers, for the tumor alone."""
+    return _both_kinds(W.run_single, v, False, [*A.SINGLE, A.arbitrary(1)])
 
 
-SAMPLE_CALLS = "c as (select case caller when 'MuTect2' then 'tumor' else 'normal' end as sample, chrom, pos, ref, filter, unnest(string_split(alt, ',')) as alt from vcf_v where caller in ('MuTect2', 'Strelka')), w as (select distinct chrom, pos, ref, alt from c)"
+#: Every caller as a sample, and the reads that its depths come from.
+SAMPLES = {c: "tumor" if i % 2 else "normal" for i, c in enumerate(sorted(C.SUPPLIED))}
+SAMPLE_CALLS = "c as (select caller as sample, chrom, pos, ref, filter, unnest(string_split(alt, ',')) as alt from vcf_v), w as (select distinct chrom, pos, ref, alt from c)"
+SAMPLE_ROWS = f"(values {', '.join(f'{x}' for x in SAMPLES.items())}) s(sample, reads)"
 
 
 def _sample_calls(v) -> DataFrame:
-    rows = v("vcf_v").where("caller in ('MuTect2', 'Strelka')")
-    return E.explode_alts(rows.withColumn("sample", F.when(F.col("caller") == "MuTect2", "tumor").otherwise("normal"))).select("sample", *E.KEY, "filter")
+    return E.explode_alts(v("vcf_v").withColumnRenamed("caller", "sample")).select("sample", *E.KEY, "filter")
 
 
-@query(f"with {SAMPLE_CALLS} select w.*, s.sample, coalesce(c.filter, 'NONE') as filter from w, (values ('tumor'), ('normal')) s(sample) left join c on c.chrom = w.chrom and c.pos = w.pos and c.ref = w.ref and c.alt = w.alt and c.sample = s.sample")
+@query(f"with {SAMPLE_CALLS} select w.*, s.sample, coalesce(c.filter, 'NONE') as filter from w, {SAMPLE_ROWS} left join c on c.chrom = w.chrom and c.pos = w.pos and c.ref = w.ref and c.alt = w.alt and c.sample = s.sample")
 def fill_missing_samples(v):
-    return E.fill_missing_samples(_sample_calls(v), ["tumor", "normal"], "sample")
+    return E.fill_missing_samples(_sample_calls(v), list(SAMPLES), "sample")
 
 
 DEPTHS = "d as (select chrom, pos, ref, alt, sample, count(*) filter (where cls = 1) as x, count(*) as n from every where mapq >= 1 group by all)"
 
 
-@query(f"""with {SAMPLE_CALLS}, {BOTH}, {DEPTHS}, t as (select w.*, s.sample, coalesce(c.filter, 'NONE') as f, coalesce(x, 0) as x, coalesce(n, 0) as n from w, (values ('tumor'), ('normal')) s(sample) left join c on c.chrom = w.chrom and c.pos = w.pos and c.ref = w.ref and c.alt = w.alt and c.sample = s.sample
-   left join d on d.chrom = w.chrom and d.pos = w.pos and d.ref = w.ref and d.alt = w.alt and d.sample = s.sample),
+@query(f"""with {SAMPLE_CALLS}, {BOTH}, {DEPTHS}, t as (select w.*, s.sample, coalesce(c.filter, 'NONE') as f, coalesce(x, 0) as x, coalesce(n, 0) as n from w, {SAMPLE_ROWS} left join c on c.chrom = w.chrom and c.pos = w.pos and c.ref = w.ref and c.alt = w.alt and c.sample = s.sample
+   left join d on d.chrom = w.chrom and d.pos = w.pos and d.ref = w.ref and d.alt = w.alt and d.sample = s.reads),
  u as (select *, replace(f, ';', ',') || ':' || cast(x as varchar) || '/' || cast(n as varchar) || '=' || case when n = 0 then 'nan' else format('{{:g}}', x / n) end as said, list_contains(string_split(f, ';'), 'PASS') as met from t)
- select chrom, pos, ref, alt, count(*) filter (where met) as num, max(said) filter (where sample = 'tumor') as tumor, max(said) filter (where sample = 'normal') as normal from u group by chrom, pos, ref, alt having count(*) filter (where met) >= 1""")
+ select chrom, pos, ref, alt, count(*) filter (where met) as num, {', '.join(f"max(said) filter (where sample = '{c}') as {c}" for c in SAMPLES)} from u group by chrom, pos, ref, alt having count(*) filter (where met) >= 1""")
 def tally_samples(v):
     calls = _sample_calls(v)
     depths = V.vaf_by_sample(v("reads_v"), calls)
-    return E.tally_samples(calls, depths, ["tumor", "normal"])
+    of = F.coalesce(*[F.when(F.col("sample") == r, F.array(*[F.lit(c) for c, x in SAMPLES.items() if x == r])) for r in ("tumor", "normal")])
+    return E.tally_samples(calls, depths.withColumn("sample", F.explode(of)), list(SAMPLES))
 
 
 CLUSTERS = """s as (select chrom, pos, min(ref) as r, max(case when filter like '%PASS%' then 1.0 when filter like '%LowQual%' then 0.5 else 0.0 end) as score, list_distinct(flatten(list(string_split(alt, ',')))) as alts from near_v group by chrom, pos),

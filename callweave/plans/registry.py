@@ -89,9 +89,9 @@ def in_region(v):
     return I.in_region(v("truth_v").select("chrom", "pos"), v("regions_v"))
 
 
-@query("select chrom, unnest(range(start0 + 1, end0 + 1)) as pos from regions_v where label = 'P'")
+@query("select chrom, unnest(range(start0 + 1, end0 + 1)) as pos from regions_v")
 def sites_from_regions(v):
-    return I.sites_from_regions(v("regions_v").where("label = 'P'"))
+    return I.sites_from_regions(v("regions_v"))
 
 
 @query(MERGED.format(by=""))
