@@ -42,6 +42,18 @@ def bounded(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.count() <= rows else side
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, lengthened where a column has them, however it is written."""
+    taken = {c.lower() for c in columns}
+    made = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        made.append(name)
+    return made
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,8 +2,8 @@
 
 All lines with a visible character are compared over all documents, blanks at the ends aside.  A line
 goes if an equal line, or one within one edit (a character inserted, deleted or replaced), stands earlier:
-in a document with a smaller id, or further up in the same document.  Within one edit only lines of at least
-``min_chars`` characters are alike: shorter ones that differ by one character ("Page 1", "Page 2") mostly say different things.
+in a document with a smaller id, or further up in the same document.  Callers may ask for ``min_chars`` characters
+for the step of one edit, as shorter lines that differ by one ("Page 1", "Page 2") mostly say different things; equal lines go at any length.
 
 Lines within one edit have a common variant: both with the same character left out, or one with a
 character left out and the other whole.  Emitting a hash for each left-out character of each line would
@@ -24,9 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import BROADCAST_ROWS, bounded, cut_lineage
+from callweave.llm.common import BROADCAST_ROWS, bounded, cut_lineage, fresh
 
-MIN_CHARS = 20
+#: Characters that a line has at least to take part in the step of one edit.
+MIN_CHARS = 1
 LAST = (1 << 63) - 1
 
 
@@ -107,16 +108,17 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, counts: bool = False) -> DataFrame:
     """``docs`` with the shortened texts; with ``counts`` also n_lines and n_removed."""
-    dropped = dropped_lines(docs, id_col, text_col, min_chars).groupBy("doc", "version").agg(F.array_sort(F.collect_set("pos")).alias("__dropped"))
-    dropped = cut_lineage(dropped.withColumnsRenamed({"doc": "__doc", "version": "__version"}))
-    lines_dropped = dropped.agg(F.sum(F.size("__dropped"))).first()[0] or 0
+    doc_key, version_key, gone = fresh(docs.columns, "__doc", "__version", "__dropped")
+    dropped = dropped_lines(docs, id_col, text_col, min_chars).groupBy("doc", "version").agg(F.array_sort(F.collect_set("pos")).alias(gone))
+    dropped = cut_lineage(dropped.withColumnsRenamed({"doc": doc_key, "version": version_key}))
+    lines_dropped = dropped.agg(F.sum(F.size(gone))).first()[0] or 0
     dropped = bounded(dropped) if lines_dropped <= 4 * BROADCAST_ROWS else dropped
     doc, version = _order(id_col, text_col)
-    joined = docs.withColumns({"__doc": doc, "__version": version}).join(dropped, ["__doc", "__version"], "left")
-    rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("__dropped", i)), "\n")
-    text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(rest)
+    joined = docs.withColumns({doc_key: doc, version_key: version}).join(dropped, [doc_key, version_key], "left")
+    rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest)
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if counts:
         n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.split(text_col, "\n"))).cast("long")
-        columns += [n_lines.alias("n_lines"), F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_removed")]
+        columns += [n_lines.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")]
     return joined.select(*columns)

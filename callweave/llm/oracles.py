@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from callweave.llm import quality_rules as Q
 
-#: Lines of documents, distinct lines with their first place, and the neighbourhood of one deletion of those with 20 characters or more.
+#: Lines of documents, distinct lines with their first place, and the neighbourhood of one deletion of each.
 LINE_DEDUP = r"""
 with lines as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null),
  shown as (select doc_id, pos, trim(raw, ' ') as line from lines where regexp_matches(raw, '[^ \t\n\x0B\f\r]')),
  firsts as (select line, min((doc_id, pos)) as first, length(line) as n from shown group by line),
- long as (select line, first, n from firsts where n >= 20),
+ long as (select line, first, n from firsts),
  variants as (select line, first, i, hash(substr(line, 1, i - 1) || substr(line, i + 1)) as v from (select *, unnest(range(1, n + 1)) as i from long)),
  replaced as (select v, i, min(first) as first from variants group by v, i having count(*) > 1),
  near as (select distinct a.line from variants a join replaced b on b.v = a.v and b.i = a.i and b.first < a.first

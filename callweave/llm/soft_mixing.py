@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import bounded, cut_lineage
+from callweave.llm.common import bounded, cut_lineage, fresh
 
 MAX_TRAIN_DOCS = 6000
 TELLING_WORDS = 48
@@ -226,7 +226,8 @@ def soft_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] |
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, id_col: str = "doc_id", text_col: str = "text", max_rate: float | None = None) -> DataFrame:
     """``docs`` with each row as often as its rate says, and its columns only."""
     rated, _ = _rated(docs, labels, weights or WEIGHTS, total, id_col, text_col, max_rate)
-    wanted = rated.select(F.col("key").alias("__key"), F.col("copies").alias("__copies")).where("__copies > 0").dropDuplicates(["__key"])
+    key, copies, turn = fresh(docs.columns, "__key", "__copies", "__k")
+    wanted = rated.select(F.col("key").alias(key), F.col("copies").alias(copies)).where(F.col(copies) > 0).dropDuplicates([key])
     wanted = cut_lineage(wanted)
-    repeated = docs.withColumn("__key", F.xxhash64(id_col, text_col)).join(bounded(wanted), "__key").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    repeated = docs.withColumn(key, F.xxhash64(id_col, text_col)).join(bounded(wanted), key).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -115,9 +115,9 @@ def test_line_dedup(spark, texts):
         rest = []
         for line in (t or "").split("\n"):
             x = line.strip(" ")
-            if len(x) < 20 or all(abs(len(x) - len(y)) > 1 or edit_distance(x, y) > 1 for y in seen):
+            if not x.strip() or all(abs(len(x) - len(y)) > 1 or edit_distance(x, y) > 1 for y in seen):
                 rest.append(line)
-            if len(x) >= 20 and x not in seen:
+            if x.strip() and x not in seen:
                 seen.append(x)
         want[i] = None if t is None else "\n".join(rest)
     got = {x.doc_id: x for x in line_dedup.drop_repeated_lines(frame(spark, docs), counts=True).collect()}
@@ -229,5 +229,7 @@ def test_mixing(spark):
     assert len(got) == len(rows) + 2 and all(abs(g.p_low + g.p_good + g.p_toxic - 1) < 1e-9 and g.rate >= 0 for g in got)
     sums = {d: sum(g.rate * g.n_tokens * g[f"p_{d}"] for g in got) for d in soft_mixing.DOMAINS}
     assert abs(sums["good"] / sum(sums.values()) - 0.8) < 0.02 and abs(sums["toxic"] / sum(sums.values()) - 0.1) < 0.02
-    assert soft_mixing.mix(docs, labels).columns == docs.columns
+    named = docs.limit(150).withColumns({"__copies": F.lit(3), "__KEY": F.lit("q"), "__k": F.lit(None).cast("int")})
+    mixed = soft_mixing.mix(named, labels)
+    assert mixed.columns == named.columns and {(x["__copies"], x["__KEY"], x["__k"]) for x in mixed.collect()} == {(3, "q", None)}
     assert soft_mixing.soft_mixture(docs.limit(0), labels).count() == 0 and soft_mixing.soft_mixture(docs, labels.limit(0)).count() == len(rows) + 2
