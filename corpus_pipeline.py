@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 from callweave.llm import bpe_codec, chosen_path, line_crf, line_dedup, soft_mixing
 from callweave.llm.common import shared_folder
 
-#: Weights of the mixing stage; low quality has gone before.  They lie near the shares that posteriors give such a corpus:
-#: far from them, few documents with extreme posteriors would be repeated a hundred times.
-MIX_WEIGHTS = {"low": 0.0, "good": 0.9, "toxic": 0.1}
+#: Weights of the mixing stage; low quality has gone before.
+MIX_WEIGHTS = {"low": 0.0, "good": 0.95, "toxic": 0.05}
+#: How often a document may be repeated; None: as often as its domain's target asks.  With a bound, ``soft_mixing`` warns of what is unmet.
+MIX_MAX_RATE = None
+#: Shorter lines that differ by one character ("Page 1", "Page 2") are no copies of each other for this corpus; equal ones are.
+NEAR_LINE_CHARS = 20
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,19 +40,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier in the corpus; documents left without a word go."""
-    shortened = line_dedup.drop_repeated_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    shortened = line_dedup.drop_repeated_lines(docs, min_chars=NEAR_LINE_CHARS)
+    if "n_chars" in docs.columns:
+        shortened = shortened.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return shortened.where(F.trim(F.translate("text", "\n\t\r", "   ")) != "")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, and all others."""
+    """The document with the smallest id of each near-duplicate group, and all others; rows that share an id are kept or dropped together."""
     kept = chosen_path.near_duplicates(docs, shingle_words=5, threshold=0.8).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their domains ask for."""
-    return soft_mixing.mix(docs, _labels(spark, sf_dir), MIX_WEIGHTS)
+    return soft_mixing.mix(docs, _labels(spark, sf_dir), MIX_WEIGHTS, max_rate=MIX_MAX_RATE)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
