@@ -23,8 +23,8 @@ from callweave.llm.common import shared_folder
 
 #: Weights of the mixing stage; low quality has gone before.
 MIX_WEIGHTS = {"low": 0.0, "good": 0.95, "toxic": 0.05}
-#: How often a document may be repeated; None: as often as its domain's target asks.  With a bound, ``soft_mixing`` warns of what is unmet.
-MIX_MAX_RATE = None
+#: How often a document may be repeated at most; without a bound, 202,041 documents of `check_l` became 6,420,558.  ``soft_mixing`` warns of what is unmet.
+MIX_MAX_RATE = 4.0
 #: Shorter lines that differ by one character ("Page 1", "Page 2") are no copies of each other for this corpus; equal ones are.
 NEAR_LINE_CHARS = 20
 
