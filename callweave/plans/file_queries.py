@@ -150,9 +150,20 @@ def unsorted_records(v):
 
 @query("select chrom, pos, ref, alt, row_number() over (order by 10 - cast(substr(chrom, 4, 1) as int), pos, ref, alt) as place from truth_v")
 def contig_order(v):
-    rows = v("truth_v")
-    ordered = S.sort_by_contig(rows, _contigs(rows))
-    return ordered.withColumn("rank", 10 - F.substr("chrom", F.lit(4), F.lit(1)).cast("int")).select(*E.KEY, F.expr("row_number() over (order by rank, pos, ref, alt)").cast("long").alias("place"))
+    rows = v("truth_v").select(*E.KEY)
+    path = scratch(rows.sparkSession, "ordered")
+    S.write_vcf(rows, path, _contigs(rows), ["##fileformat=VCFv4.1"])
+    return S.record_places(rows.sparkSession, path).select(*E.KEY, F.col("line").alias("place"))
+
+
+@query("""with n as (select chrom, count(*) as n from (select distinct chrom, pos, ref, alt from calls_v) group by chrom)
+ select chrom, n, cast(sum(n) over (order by 10 - cast(substr(chrom, 4, 1) as int)) - n as bigint) as first_line, cast(sum(n) over (order by 10 - cast(substr(chrom, 4, 1) as int)) - 1 as bigint) as last_line, cast(0 as bigint) as unsorted from n""")
+def written_order(v):
+    rows = v("calls_v").select(*E.KEY)
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "ordered")
+    S.write_vcf(rows, path, _contigs(rows))
+    lines = S.record_places(spark, path).groupBy("chrom").agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+    return lines.crossJoin(S.written_disorder(spark, path, _contigs(rows)).select("unsorted"))
 
 
 def _document_sites(v) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 from callweave.functions.expressions import general
 from callweave.operators.intervals import running
 from callweave.operators.reads import parse_cigar
-from callweave.operators.reference import tiles
+from callweave.operators.reference import OVERLAP, STEP
+from callweave.operators.summaries import unsorted_records
 
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")
 
@@ -85,11 +86,63 @@ def scan_contigs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("chrom", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
 
 
+#: Place of a line: its file, the split of the file, and a number that grows with the lines of a split.
+SPLIT = ("__file", "__block")
+
+
+def _split_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines with their place; the reader cuts files into splits of ``spark.sql.files.maxPartitionBytes``."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+
+
+def file_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value and ``line``: numbers without gaps from 0 in the order of the files, blank lines and headers included.
+
+    Parts of a written table follow one another by their number, other files before them by name.  Lines are counted by split; windows
+    see one row a split of one file, and one row a file, so no task sees all lines and none are sorted.
+    """
+    lines = _split_lines(spark, path)
+    splits = lines.groupBy(*SPLIT).agg(F.min("__id").alias("__from"), F.count("*").alias("__n"))
+    part = F.regexp_extract("__file", r"/part-(\d+)[^/]*$", 1).try_cast("long")
+    files = splits.groupBy("__file").agg(F.sum("__n").alias("__n"))
+    ahead = Window.orderBy(part.asc_nulls_first(), "__file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("__file", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.withColumn("__base2", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(files, "__file")
+    first = starts.select(*SPLIT, (F.col("__base") + F.col("__base2") - F.col("__from")).alias("__shift"))
+    return lines.join(first, list(SPLIT)).select("value", (F.col("__id") + F.col("__shift")).alias("line"))
+
+
 def scan_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Sequences as overlapping tiles; the name is cut at the first blank.  A contig is one row before it is cut."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.col("value").contains("\n"))
-    name = F.regexp_extract("value", r"^([^\s]+)", 1)
-    return tiles(records.select(name.alias("chrom"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", "").alias("sequence")))
+    """Sequences as overlapping tiles (chrom, tile, start0, seq); the name is cut at the first blank.
+
+    A contig is never one row: each line gets its base offset by a running sum inside its split, which the splits of its file
+    carry on, and tiles are put together from the pieces of their lines.  Contigs of one name in several places stay apart;
+    empty ones and bases before the first name have no tiles.
+    """
+    head = F.col("value").startswith(">")
+    made = _split_lines(spark, path).select(*SPLIT, "__id", F.when(head, F.regexp_extract("value", r"^>(\S*)", 1)).alias("__name"), F.when(head, "").otherwise(F.regexp_replace("value", r"\s", "")).alias("__bases"))
+    upto = Window.partitionBy(*SPLIT).orderBy("__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = made.withColumn("__sum", F.sum(F.length("__bases").cast("long")).over(upto))
+    own = F.last(F.when(F.col("__name").isNotNull(), F.struct(F.col("__id").alias("at"), F.col("__name").alias("chrom"), F.col("__sum").alias("before"))), ignorenulls=True)
+    lines = summed.withColumn("__own", own.over(upto))
+
+    last = lines.groupBy(*SPLIT).agg(F.max_by(F.struct("__own", "__sum"), "__id").alias("e"))
+    last = last.select(*SPLIT, F.col("e.__own").alias("__last"), (F.col("e.__sum") - F.coalesce(F.col("e.__own.before"), F.lit(0))).alias("__tail"))
+    inside = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = last.withColumn("__ahead", F.coalesce(F.sum("__tail").over(inside), F.lit(0)))
+    begun = F.last(F.when(F.col("__last").isNotNull(), F.struct(F.col("__last.at").alias("at"), F.col("__last.chrom").alias("chrom"), F.col("__ahead").alias("before"))), ignorenulls=True)
+    carried = ahead.withColumn("__open", begun.over(inside)).select(*SPLIT, "__open", (F.col("__ahead") - F.coalesce(F.col("__open.before"), F.lit(0))).alias("__carried"))
+
+    n = F.length("__bases").cast("long")
+    contig = F.when(F.col("__own").isNotNull(), F.struct("__own.at", "__own.chrom")).otherwise(F.struct("__open.at", "__open.chrom"))
+    start = F.col("__sum") - n + F.when(F.col("__own").isNotNull(), -F.col("__own.before")).otherwise(F.col("__carried"))
+    placed = lines.where(n > 0).join(carried, list(SPLIT)).select(contig.alias("c"), start.alias("__start"), "__bases").where("c.chrom is not null")
+    reach = F.expr(f"sequence(greatest((__start - {OVERLAP}) div {STEP}, 0L), (__start + length(__bases) - 1) div {STEP})")
+    cut = placed.withColumn("tile", F.explode(reach)).withColumn("__at", F.greatest(F.col("__start"), F.col("tile") * STEP))
+    piece = F.substr("__bases", (F.col("__at") - F.col("__start") + 1).cast("int"), (F.col("tile") * STEP + STEP + OVERLAP - F.col("__at")).cast("int"))
+    pieces = F.array_sort(F.collect_list(F.struct("__at", piece.alias("piece"))))
+    return cut.groupBy("c", "tile").agg(F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("seq")).select("c.chrom", "tile", (F.col("tile") * STEP).alias("start0"), "seq")
 
 
 def scan_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -149,9 +202,13 @@ def unique_rows(rows: DataFrame) -> DataFrame:
 
 
 def sort_by_contig(rows: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Distinct rows in the order of contigs and positions; rows of unknown contigs come last."""
+    """Distinct rows in the order of contigs and positions, then of alleles; rows of unknown contigs come last.
+
+    Copies are dropped before rows are dealt to ranges, so neither copies nor, with alleles, one crowded position fill a range.
+    """
     rank = contigs.select("chrom", F.col("offset").alias("__rank"))
-    return unique_rows(rows).join(rank, "chrom", "left").orderBy(F.col("__rank").asc_nulls_last(), "chrom", "pos").drop("__rank")
+    alleles = [c for c in ("ref", "alt") if c in rows.columns]
+    return unique_rows(rows).join(rank, "chrom", "left").orderBy(F.col("__rank").asc_nulls_last(), "chrom", "pos", *alleles).drop("__rank")
 
 
 def vcf_header(declared: dict[str, tuple[str, str, str, str]], filters: dict[str, str], samples: list[str], kept: list[str] | None = None, dropped: tuple[str, ...] = ()) -> list[str]:
@@ -187,6 +244,18 @@ def write_vcf(rows: DataFrame, path: str, contigs: DataFrame | None = None, head
     lines.write.text(path)
 
 
+def record_places(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, pos, ref and alt of written records, and ``line``, their place among the lines of all parts."""
+    parts = F.split("value", "\t")
+    records = file_lines(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    return records.select(_field(0, parts).alias("chrom"), _field(1, parts).cast("long").alias("pos"), _field(3, parts).alias("ref"), _field(4, parts).alias("alt"), "line")
+
+
+def written_disorder(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
+    """``unsorted_records`` of written records as they stand in their files: 0 and 0 prove that the parts are in order."""
+    return unsorted_records(record_places(spark, path), contigs)
+
+
 def write_bed(rows: DataFrame, path: str) -> None:
     rows.write.csv(path, sep="\t", emptyValue="")
 
