@@ -23,6 +23,28 @@ def feature_summary(features: DataFrame, columns: list[str], label: str = "TrueV
     )
 
 
+def quantile_sketches(rows: DataFrame, value: str, by: tuple[str, ...] = (), k: int = 800) -> DataFrame:
+    """``sketch`` of a number by the columns of ``by``: a few kilobytes however many rows there are.
+
+    Partitions sketch their own rows and only sketches are shuffled; they can be kept for each batch and merged later by
+    ``merge_sketches``.  The rank of a quantile is off by about 2.3 / k ** 0.9 of all rows (0.6 % at 800) with 99 % confidence.
+    Nulls and NaN are left out; a group without a number has no row.
+    """
+    fair = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return fair.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch")).where(F.kll_sketch_get_n_double("sketch") > 0)
+
+
+def merge_sketches(sketches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sketches of batches as one of each group of ``by``, as if their rows had been sketched together."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch")).where(F.kll_sketch_get_n_double("sketch") > 0)
+
+
+def sketch_quantiles(sketches: DataFrame, probabilities: list[float]) -> DataFrame:
+    """``n`` and ``quantiles``, an array in the order of ``probabilities``, in place of the sketch."""
+    asked = F.array(*[F.lit(float(p)) for p in probabilities])
+    return sketches.withColumns({"n": F.kll_sketch_get_n_double("sketch"), "quantiles": F.kll_sketch_get_quantile_double("sketch", asked)}).drop("sketch")
+
+
 def feature_histogram(features: DataFrame, columns: list[str], label: str = "TrueVariant_or_False", edges: int = 50) -> DataFrame:
     """For each feature, label and bin between ``edges`` even edges over both labels: count and density; empty bins have no row."""
     rows = _long(features, columns, label).where("value is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,7 +187,7 @@ LABELLED = "(select mapq, nm, case when flag & 16 <> 0 then null else tlen end a
 
 
 def _labelled(v) -> DataFrame:
-    return v("reads_v").select("mapq", "nm", F.when(F.col("flag").bitwiseAND(16) == 0, F.col("tlen")).alias("tlen"), (F.col("read_id") % 3 == 0).cast("int").alias("label"))
+    return v("reads_v").select("chrom", "mapq", "nm", F.when(F.col("flag").bitwiseAND(16) == 0, F.col("tlen")).alias("tlen"), (F.col("read_id") % 3 == 0).cast("int").alias("label"))
 
 
 LONG = f"(select label, feature, value from (select label, cast(mapq as double) as mapq, cast(nm as double) as nm, cast(tlen as double) as tlen from {LABELLED}) unpivot include nulls (value for feature in (mapq, nm, tlen)))"
@@ -197,6 +199,21 @@ def feature_summary(v):
     return made.select("feature", "label", "nulls", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "least", "most", "median", F.col("deciles")[8].alias("ninth"))
 
 
+@query(f"select feature, label, count(value) as n, min(value) as least, max(value) as most, true as near from {LONG} group by feature, label having count(value) > 0")
+def sketched_deciles(v):
+    """Sketches kept by contig and merged; ``near`` if the rank of each decile among all rows is off by 1 % at most."""
+    labelled = _labelled(v).select("chrom", "label", *[F.col(c).cast("double").alias(c) for c in ("mapq", "nm", "tlen")])
+    rows = labelled.unpivot(["chrom", "label"], ["mapq", "nm", "tlen"], "feature", "value").where("value is not null")
+    kept = G.merge_sketches(G.quantile_sketches(rows, "value", ("feature", "label", "chrom")), ("feature", "label"))
+    made = G.sketch_quantiles(kept, [k / 10 for k in range(11)])
+    at = F.transform("quantiles", lambda q: F.struct((F.col("value") < q).cast("long").alias("below"), (F.col("value") <= q).cast("long").alias("upto")))
+    counted = rows.join(made, ["feature", "label"]).withColumn("at", at)
+    sums = [F.sum(F.col("at")[i][side]).alias(f"{side}{i}") for i in range(11) for side in ("below", "upto")]
+    ranks = counted.groupBy("feature", "label", "n", F.col("quantiles")[0].alias("least"), F.col("quantiles")[10].alias("most")).agg(*sums)
+    near = [(F.col(f"below{i}") <= (i / 10 + 0.01) * F.col("n")) & (F.col(f"upto{i}") >= (i / 10 - 0.01) * F.col("n")) for i in range(11)]
+    return ranks.select("feature", "label", "n", "least", "most", reduce(lambda a, b: a & b, near).alias("near"))
+
+
 @query(f"""with l as (select * from {LONG} where value is not null), e as (select feature, min(value) as lo, (max(value) - min(value)) / 49 as w from l group by feature), b as (select l.feature, label, cast(least(floor((value - lo) / w), 48) as int) as bin, lo, w from l join e on e.feature = l.feature)
  select feature, label, bin, round(lo + bin * w, 6) as start, count(*) as n, round(count(*) / (sum(count(*)) over (partition by feature, label) * w), 9) as density from b group by feature, label, bin, lo, w""")
 def feature_histogram(v):
