@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import expressions as X
+from callweave.functions.substrings import full_complexity
 from callweave.operators import ensemble as E
 from callweave.operators import intervals as I
 from callweave.operators import pileup as P
@@ -186,6 +187,12 @@ def linguistic_complexity(v):
     return _windows(v).select("doc_id", "w", F.round(X.linguistic_complexity("seq", 20), 9).alias("complexity"))
 
 
+@query()
+def sequence_complexity_full(v):
+    """Whole sequences of documents; SQL would list all substrings, so this is tested against plain Python."""
+    return v("sequences_v").select("doc_id", F.round(full_complexity("seq0"), 9).alias("complexity"))
+
+
 @query("""select read_id, round(case when p = 0 then 40.0 when p = 1 then 0.0 else least(-10 * log10(p), 40.0) end, 9) as phred, round(pow(10.0, -mapq / 10.0), 12) as p_wrong,
  case when d = 0 then case when u > 0 then 100.0 end else least(round(u / d, 9), 100.0) end as odds, case when t = 0 then './.' when (af + ar) / t > 0.85 then '1/1' when (af + ar) / t >= 0.01 then '0/1' else '0/0' end as gt,
  case when t = 0 then 0.0 else round((af + ar) / t, 9) end as vaf

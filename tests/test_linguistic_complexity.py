@@ -1,7 +1,9 @@
-"""Substrings of up to 20 bases, as in the survey (X17), against plain Python."""
+"""Substrings of up to 20 bases (X17) and of any length (X16 of the survey), against plain Python."""
 
 import os
+import random
 
+from callweave.functions.substrings import count_distinct, full_complexity
 from callweave.plans import registry
 from callweave.plans.views import view
 
@@ -22,3 +24,33 @@ def test_query_against_plain_python(spark):
     got = {(r.doc_id, r.w): r.complexity for r in registry.QUERIES["linguistic_complexity"](spark, SF).where("doc_id < 20").collect()}
     assert set(got) == set(want) and len(got) > 20
     assert all(abs(got[k] - round(want[k], 9)) < 2e-9 for k in want)
+
+
+def test_distinct_substrings():
+    r = random.Random(4)
+    texts = ["", "A", "AA", "A" * 400, "ACGT" * 90, "banana", "é\U0001f600é\U0001f600a", "ab" * 100 + "c" + "ab" * 100]
+    texts += ["".join(r.choice("ACGT"[: r.randrange(1, 5)]) for _ in range(r.randrange(1, 200))) for _ in range(150)]
+    for t in texts:
+        assert count_distinct(t) == len({t[i:j] for i in range(len(t)) for j in range(i + 1, len(t) + 1)}), t
+    assert count_distinct("A" * 300_000) == 300_000
+
+
+def test_full_complexity(spark):
+    r = random.Random(9)
+    texts = [None, "", "A", "ACGTN", "A" * 60, "ACGT", *("".join(r.choice("ACGT") for _ in range(n)) for n in (19, 20, 21, 22, 150))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, seq string").repartition(3)
+    got = {x.i: x.c for x in rows.select("i", full_complexity("seq").alias("c")).collect()}
+    for i, t in enumerate(texts):
+        if not t or "N" in t:
+            assert got[i] is None
+        else:
+            assert abs(got[i] - complexity(t, len(t))) < 1e-12
+    assert rows.limit(0).select(full_complexity("seq")).count() == 0
+
+
+def test_query_of_whole_sequences(spark):
+    got = {x.doc_id: x.complexity for x in registry.QUERIES["sequence_complexity_full"](spark, SF).collect()}
+    rows = view(spark, SF, "sequences_v").collect()
+    assert set(got) == {x.doc_id for x in rows}
+    short = [x for x in rows if x.seq0 and len(x.seq0) < 400]
+    assert short and all(abs(got[x.doc_id] - round(complexity(x.seq0, len(x.seq0)), 9)) < 2e-9 for x in short)
