@@ -33,12 +33,12 @@ def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """All pairs of overlapping rows; the right side's interval comes out as r_start0 and r_end0.
 
     Both sides are looked up in nested bins (``_keys``), so a row costs a few dozen keys at most, however wide it is, and each
-    pair meets once.
+    pair meets once.  Sizes are judged before keys are made, so a broadcast could be many times larger than it seems: the sides are merged.
     """
     right = right.withColumnsRenamed({"start0": "r_start0", "end0": "r_end0"})
     a = left.withColumn("__bin", F.explode(_keys(F.col("start0"), F.col("end0"), 0)))
     b = right.withColumn("__bin", F.explode(_keys(F.col("r_start0"), F.col("r_end0"), 1)))
-    return a.join(b, ["chrom", "__bin"]).where((F.col("start0") < F.col("r_end0")) & (F.col("r_start0") < F.col("end0"))).drop("__bin")
+    return a.join(b.hint("merge"), ["chrom", "__bin"]).where((F.col("start0") < F.col("r_end0")) & (F.col("r_start0") < F.col("end0"))).drop("__bin")
 
 
 def variant_footprint(variants: DataFrame) -> DataFrame:
@@ -56,7 +56,8 @@ def touching(rows: DataFrame, regions: DataFrame, how: str, start: str = "start0
     looking = spans.withColumn("s_bin", F.explode(_keys(F.col("s_start0"), F.col("s_end0"), 0)))
     held = regions.where("start0 < end0").select("chrom", "start0", "end0", F.explode(_keys(F.col("start0"), F.col("end0"), 1)).alias("r_bin"))
     hit = (F.col("s_chrom") == F.col("chrom")) & (F.col("s_bin") == F.col("r_bin")) & (F.col("s_start0") < F.col("end0")) & (F.col("start0") < F.col("s_end0"))
-    found = looking.join(held, hit, "left_semi").select("s_chrom", "s_start0", "s_end0").distinct()
+    # merged, as sizes are judged before keys are made
+    found = looking.join(held.hint("merge"), hit, "left_semi").select("s_chrom", "s_start0", "s_end0").distinct()
     return rows.join(found, (rows["chrom"] == F.col("s_chrom")) & (rows[start] == F.col("s_start0")) & (rows[end] == F.col("s_end0")), how)
 
 

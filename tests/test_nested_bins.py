@@ -38,3 +38,13 @@ def test_keys_of_wide_intervals(spark):
     for up in (0, 1):
         n = {x["n"]: x["k"] for x in rows.select("n", F.size(I._keys(F.col("start0"), F.col("end0"), up)).alias("k")).collect()}
         assert n[0] <= 64 + len(I.LEVELS) and n[1] <= 1 + len(I.LEVELS) and n[2] <= 4 + len(I.LEVELS)
+
+
+def test_keys_are_not_broadcast(spark):
+    """A few wide regions are small before keys are made of them and not after."""
+    rows = spark.range(1).selectExpr("cast(id as string) as chrom", "id + 5 as start0", "id + 6 as end0")
+    regions = spark.range(1).selectExpr("cast(id as string) as chrom", "id as start0", "id + 250000000 as end0")
+    for made in (I.touching(rows, regions, "left_semi"), I.overlap_join(rows, regions)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        bins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "bin" in x]
+        assert made.count() == 1 and not bins and "SortMergeJoin" in plan
