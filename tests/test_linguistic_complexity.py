@@ -2,8 +2,9 @@
 
 import os
 import random
+import time
 
-from callweave.functions.substrings import count_distinct, full_complexity
+from callweave.functions.substrings import count_distinct, count_up_to, full_complexity, linguistic_complexity
 from callweave.plans import registry
 from callweave.plans.views import view
 
@@ -35,6 +36,29 @@ def test_distinct_substrings():
     assert count_distinct("A" * 300_000) == 300_000
 
 
+def test_distinct_words_together():
+    """Many texts at once, of any letters and lengths; a plain loop over 200,000 windows takes minutes, this a few seconds."""
+    r = random.Random(5)
+    texts = ["", "A", "A" * 400, "banana", "é\U0001f600é\U0001f600a", "abcdefghijklmnop" * 4, *("".join(r.choice("ACGTN"[: r.randrange(1, 6)]) for _ in range(r.randrange(1, 120))) for _ in range(200))]
+    for longest in (1, 3, 20, 21, 40):
+        want = [len({t[i : i + k] for k in range(1, longest + 1) for i in range(len(t) - k + 1)}) for t in texts]
+        assert count_up_to(texts, longest).tolist() == want
+    start = time.process_time()
+    count_up_to(["".join(r.choices("ACGT", k=81)) for _ in range(1000)] * 200, 20)
+    assert time.process_time() - start < 20
+
+
+def test_complexity_column(spark):
+    r = random.Random(6)
+    texts = [None, "", "A", "ACGTN", "ACGT", *("".join(r.choice("ACGT") for _ in range(n)) for n in (19, 20, 21, 150))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, seq string").repartition(3)
+    made = rows.select("i", linguistic_complexity("seq", 20).alias("c"))
+    got = {x.i: x.c for x in made.collect()}
+    for i, t in enumerate(texts):
+        assert got[i] is None if not t or "N" in t else abs(got[i] - complexity(t)) < 1e-12
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_full_complexity(spark):
     r = random.Random(9)
     texts = [None, "", "A", "ACGTN", "A" * 60, "ACGT", *("".join(r.choice("ACGT") for _ in range(n)) for n in (19, 20, 21, 22, 150))]
