@@ -2,41 +2,58 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.operators.reads import parse_cigar, reads_at_sites
+from callweave.operators.reads import BROADCAST_SITES, at_sites
+from callweave.operators.site_tiles import laid_out
+from callweave.storage import settle
 
-#: Distances to other indels that count at most.
-NEAR = 3
+#: Operations of all different CIGARs, and bases that they span, that are sent to all tasks at most.
+BROADCAST_BASES = 2_000_000
+_CALLS = "struct<kind:array<tinyint>,length:array<int>,offset:array<int>,near:array<double>>"
 
 
-def site_calls(reads: DataFrame, sites: DataFrame) -> DataFrame:
+def _calls(cigars: pa.Array) -> pa.Array:
+    """By reference base under the read: kind, indel length, offset in the read and distance to another indel."""
+    coded = cigars.dictionary_encode()
+    laid = [laid_out(c) for c in coded.dictionary.to_pylist()]
+    none = np.iinfo(np.int32).min
+    code = coded.indices.fill_null(0).to_numpy(zero_copy_only=False) if laid else np.zeros(0, np.int64)
+    valid = cigars.is_valid().to_numpy(zero_copy_only=False)
+    chosen = [laid[c] if v else None for c, v in zip(code, valid, strict=True)] if laid else [None] * len(cigars)
+    ends = np.cumsum([0, *(len(x[0]) if x else 0 for x in chosen)]).astype(np.int32)
+    kind, length, offset, near = (np.concatenate([np.zeros(0, t), *(x[k] for x in chosen if x)]) for k, t in enumerate((np.int8, np.int32, np.int32, np.float64)))
+    values = pa.array(kind), pa.array(length, mask=length == none), pa.array(offset, mask=offset < 0), pa.array(near, mask=np.isnan(near))
+    lists = [pa.ListArray.from_arrays(pa.array(ends), v) for v in values]
+    return pa.StructArray.from_arrays(lists, ["kind", "length", "offset", "near"], mask=pa.array(~valid))
+
+
+def with_calls(reads: DataFrame, broadcast_bases: int = BROADCAST_BASES) -> DataFrame:
+    """Reads with a CIGAR, with end0 and ``__calls``: what the CIGAR says at each reference base from start0 on.
+
+    CIGARs are laid out once each and sent to the reads; where that is too much, each batch of reads lays out its own.
+    """
+    laid = F.arrow_udf(_calls, _CALLS)
+    distinct = settle(reads.where("cigar is not null").select("cigar").distinct())
+    bases = distinct.agg(F.sum(F.length("cigar") + F.aggregate(F.regexp_extract_all("cigar", F.lit("([0-9]+)[MDN=X]"), F.lit(1)), F.lit(0).cast("long"), lambda a, n: a + n.cast("long")))).first()[0] or 0
+    if bases <= broadcast_bases:
+        told = reads.join(F.broadcast(settle(distinct.withColumn("__calls", laid("cigar")))), "cigar").select(*reads.columns, "__calls")
+    else:
+        told = reads.where("cigar is not null").withColumn("__calls", laid("cigar"))
+    return told.withColumn("end0", F.expr("start0 + size(__calls.kind)")).where("end0 > start0")
+
+
+def site_calls(reads: DataFrame, sites: DataFrame, broadcast_bases: int = BROADCAST_BASES, broadcast_rows: int = BROADCAST_SITES) -> DataFrame:
     """Reads at the sites that they span, with kind, indel_length, read_offset and nearest.
 
     kind: match, insertion, deletion, or unknown inside a deletion.  Clips count as insertions.  nearest is the distance
     to another indel or clip if it is at most NEAR, else infinity.  The last aligned base has a null length and distance.
     """
-    ops = F.filter(parse_cigar(), lambda x: ~x["op"].isin("H", "P"))
-    laid = """aggregate(__ops, named_struct('r', cast(start0 as bigint), 'q', 0L, 'p', 0L, 'o', cast(array() as array<struct<i:int,n:int,k:string,r:bigint,q:bigint,p:bigint>>)),
-        (a, x) -> named_struct('r', a.r + if(x.k = 'ins', 0, x.n), 'q', a.q + if(x.k = 'del', 0, x.n), 'p', a.p + x.n,
-        'o', concat(a.o, array(named_struct('i', size(a.o), 'n', x.n, 'k', x.k, 'r', a.r, 'q', a.q, 'p', a.p))))).o"""
-    kinds = F.transform(ops, lambda x: F.struct(x["n"].alias("n"), F.when(x["op"].isin("I", "S"), "ins").when(x["op"].isin("D", "N"), "del").otherwise("match").alias("k")))
-    # laid out before the join, so once a read and not once a site
-    met = reads_at_sites(reads.withColumn("__ops", kinds).withColumn("__laid", F.expr(laid)).drop("__ops"), sites)
-    met = met.withColumn("__at", F.expr("get(filter(__laid, x -> x.k <> 'ins' and x.r <= pos - 1 and pos - 1 < x.r + x.n), 0)"))
-    met = met.withColumn("__rest", F.expr("slice(__laid, __at.i + 2, size(__laid))")).withColumn("__next", F.expr("get(__rest, 0).k"))
-    # the length of the run of equal operations that follows
-    met = met.withColumn("__run", F.expr("aggregate(__rest, named_struct('n', 0L, 'on', true), (a, x) -> named_struct('n', if(a.on and x.k = __next, a.n + x.n, a.n), 'on', a.on and x.k = __next)).n"))
-    met = met.withColumn("__edge", F.expr("pos - 1 = __at.r + __at.n - 1"))
-    kind = F.expr("case when __at.k = 'del' then 'unknown' when not __edge or __next is null or __next = 'match' then 'match' when __next = 'ins' then 'insertion' else 'deletion' end")
-    length = F.expr("case when __at.k = 'del' or (__edge and __next is null) then null when not __edge or __next = 'match' then 0 when __next = 'ins' then __run else -__run end").cast("long")
-    met = met.withColumns({"kind": kind, "indel_length": length, "__p": F.expr("__at.p + pos - 1 - __at.r")})
-    met = met.withColumn("read_offset", F.expr("case when kind <> 'unknown' then __at.q + pos - 1 - __at.r end").cast("long"))
-    met = met.withColumn("__s", F.expr("__p + abs(indel_length) + 1"))
-    left = F.expr("__p - array_max(transform(filter(__laid, x -> x.i < __at.i and x.k <> 'match'), x -> x.p + x.n - 1))")
-    right = F.expr("array_min(transform(filter(__rest, x -> x.k <> 'match' and x.p + x.n - 1 > __s), x -> greatest(x.p, __s + 1))) - __s")
-    far = F.lit(float("inf"))
-    near = F.least(*[F.when(d <= NEAR, d.cast("double")).otherwise(far) for d in (left, right)])
-    out = met.withColumn("nearest", F.when(F.col("indel_length").isNotNull(), near))
-    return out.drop("__laid", "__at", "__rest", "__next", "__run", "__edge", "__p", "__s")
+    met = at_sites(with_calls(reads, broadcast_bases), sites, broadcast_rows).withColumn("__at", F.expr("cast(pos - 1 - start0 as int)"))
+    at = lambda c: F.expr(f"get(__calls.{c}, __at)")
+    kind = F.expr("element_at(array('match', 'insertion', 'deletion', 'unknown'), get(__calls.kind, __at) + 1)")
+    made = {"kind": kind, "indel_length": at("length").cast("long"), "read_offset": at("offset").cast("long"), "nearest": at("near")}
+    return met.withColumns(made).drop("__calls", "__at")
