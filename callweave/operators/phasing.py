@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.operators.intervals import merge_intervals, overlap_join
-from callweave.operators.reads import drop_duplicate_reads
+from callweave.operators.reads import at_sites, drop_duplicate_reads
 from callweave.operators.reference import with_window
-from callweave.operators.site_calls import site_calls
+from callweave.operators.site_calls import with_calls
+from callweave.storage import settle
 
 #: Clusters hold this many positions at most.
 LONGEST = 5
@@ -47,15 +48,13 @@ def phase_variants(calls: DataFrame, reads: DataFrame, threshold: int = 1, refer
         every = with_window(every, reference, 1, 0, "__base").withColumn("__o", F.filter("own", lambda x: x["pos"] == F.col("pos")))
         options = F.coalesce(F.get("__o", F.lit(0))["options"], F.array("__base"))
         gathered = every.groupBy(*cluster, "score").agg(F.collect_list(F.struct("pos", options.alias("options"))).alias("own"))
-    gathered = gathered.withColumn("own", F.array_sort("own"))
-    wanted = gathered.withColumn("o", F.explode("own")).select(*cluster, F.col("o.pos").alias("pos"), F.col("o.options").alias("options"))
-    kept = drop_duplicate_reads(reads.where(F.col("flag").bitwiseAND(4) == 0))
-    base = F.when(F.col("kind") != "unknown", F.substr(F.col("seq"), F.col("read_offset").cast("int") + 1, F.lit(1)))
-    met = site_calls(kept, wanted).withColumn("__i", F.array_position("options", base))
-    read = ["qname", "flag", "start0", "cigar"]
-    # other bases are left out by the aggregation: as a filter they would be judged before the reads' spans
-    shown = met.groupBy(*cluster, *read).agg(F.array_sort(F.collect_list(F.when(F.col("__i") > 0, F.struct("pos", "__i")))).alias("__h"))
-    shown = shown.where("size(__h) = last - first + 1").groupBy(*cluster, F.transform("__h", lambda x: x["__i"]).alias("hap")).agg(F.count("*").alias("n"))
+    gathered = settle(gathered.withColumn("own", F.array_sort("own")))
+    kept = with_calls(drop_duplicate_reads(reads.where(F.col("flag").bitwiseAND(4) == 0)))
+    # a read meets a cluster once, at its first position, and looks up its bases at all of them
+    met = at_sites(kept, gathered.select(*cluster, "own", F.col("first").alias("pos")))
+    base = lambda x: F.substr(F.col("seq"), F.get(F.col("__calls.offset"), (x["pos"] - 1 - F.col("start0")).cast("int")) + 1, F.lit(1))
+    shown = met.withColumn("hap", F.transform("own", lambda x: F.coalesce(F.array_position(x["options"], base(x)), F.lit(0))))
+    shown = shown.where(~F.array_contains("hap", 0)).groupBy(*cluster, "hap").agg(F.count("*").alias("n"))
     told = shown.join(gathered, cluster)
     letters = F.array_join(F.transform("hap", lambda i, k: F.get(F.get("own", k)["options"], i.cast("int") - 1)), "")
     told = told.withColumns({"text": letters, "plain": F.array_join(F.transform("own", lambda x: F.get(x["options"], F.lit(0))), "")})
