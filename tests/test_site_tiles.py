@@ -3,7 +3,9 @@
 import random
 from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from callweave.operators import evidence as V
@@ -72,3 +74,39 @@ def test_rows_follow_reads(spark):
     partial_rows = S.by_site(S.streams(reads, variants), S.counts, "var_reads long, ref_reads long, other_reads long, depth long")
     assert partial_rows.count() == 149 * 3
     assert S.streams(reads, variants.limit(0)).count() == 0
+
+
+def test_batches_of_a_tile_leave_it_merged(spark):
+    """However many batches the reads of a tile come in, each site is one row, with the distinct values of all of them."""
+    reads = spark.createDataFrame([(f"q{i}", "1", i % 7, "30M", "A" * 30, "I" * 30, i % 3, 0, 0, "t") for i in range(60)], READ)
+    variants = spark.createDataFrame([("1", p, "A", "C") for p in (10, 11, 20)], "chrom string, pos long, ref string, alt string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = S.by_site(S.streams(reads, variants), V._site_sums(1, 5), V._SITE_ROW).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.pos, r.dp, [tuple(x) for x in r["__mq"]]) for r in got) == [(p, 60, [(k, 0, 20) for k in range(3)]) for p in (10, 11, 20)]
+
+
+def test_merged_and_pieces(monkeypatch):
+    r = random.Random(3)
+    for wide in (4, 1 << 62):
+        parts, want = [], {}
+        for _ in range(5):
+            sites = sorted(r.sample(range(6), r.randrange(1, 6)))
+            lists = [[{"v": r.randrange(-wide, wide), "x": r.randrange(3), "y": 1} for _ in range(r.randrange(4))] for _ in sites]
+            parts.append((np.array(sites), [pa.array([s + 1 for s in sites]), pa.array(lists, pa.list_(pa.struct([(c, pa.int64()) for c in "vxy"])))]))
+            for s, entries in zip(sites, lists, strict=True):
+                n, held = want.setdefault(s, [0, {}])
+                want[s][0] = n + s + 1
+                for e in entries:
+                    x, y = held.get(e["v"], (0, 0))
+                    held[e["v"]] = (x + e["x"], y + e["y"])
+        sites, (n, lists) = S.merged(parts)
+        assert {s: [k, {e["v"]: (e["x"], e["y"]) for e in x}] for s, k, x in zip(sites.tolist(), n.to_pylist(), lists.to_pylist(), strict=True)} == want
+    monkeypatch.setattr(S, "PAIRS_AT_ONCE", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 30), pa.array([r.randrange(40) for _ in range(30)])], ["start0", "end0"])
+    tables = [("1", np.arange(1, n)) for n in (30, 2, 2, 3)]
+    found = [(tables[0], 0, 12), (tables[1], 12, 14), (tables[2], 14, 16), (tables[3], 16, 30)]
+    groups = S._pieces(batch, found)
+    assert len(groups) > 4 and sorted((id(t), i) for g in groups for t, a, b in g for i in range(a, b)) == sorted((id(t), i) for t, a, b in found for i in range(a, b))
