@@ -78,3 +78,18 @@ def test_query_of_whole_sequences(spark):
     assert set(got) == {x.doc_id for x in rows}
     short = [x for x in rows if x.seq0 and len(x.seq0) < 400]
     assert short and all(abs(got[x.doc_id] - round(complexity(x.seq0, len(x.seq0)), 9)) < 2e-9 for x in short)
+
+
+def test_substrings_of_all_lengths_are_counted_with_few_sorts(monkeypatch):
+    """Ranks begin with as many characters as a number holds, so a repeat of 60 bases takes 3 sorts (7 by doubling from one)."""
+    import numpy as np
+
+    from callweave.functions import substrings as U
+
+    for text in ("", "A", "AAAA", "é😀é😀x", "ACGT" * 17, "GATTACA" * 5 + "é"):
+        assert U.count_distinct(text) == len({text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)})
+    part = "ACGGTTCAGGCATTACGTTTGACCAGTAACCGGTATCGATTGCAACTGGCATGTCCAATGC"
+    sorts, unique = [], np.unique
+    monkeypatch.setattr(U.np, "unique", lambda *a, **k: sorts.append(1) or unique(*a, **k))
+    U.count_distinct(part + "T" + part)
+    assert len(sorts) == 3
