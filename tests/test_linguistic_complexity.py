@@ -27,6 +27,14 @@ def test_query_against_plain_python(spark):
     assert all(abs(got[k] - round(want[k], 9)) < 2e-9 for k in want)
 
 
+def test_words_across_windows_count(spark):
+    """Each window comes with the complexity of its whole sequence, whose words cross the ends of windows."""
+    want = {r.doc_id: complexity(r.seq0) for r in view(spark, SF, "sequences_v").where("doc_id < 20 and length(seq0) > 0").collect()}
+    got = {(r.doc_id, r.sequence_complexity) for r in registry.QUERIES["linguistic_complexity"](spark, SF).where("doc_id < 20").collect()}
+    assert {d for d, _ in got} == set(want) and len(got) == len(want)
+    assert all(abs(c - round(want[d], 9)) < 2e-9 for d, c in got)
+
+
 def test_distinct_substrings():
     r = random.Random(4)
     texts = ["", "A", "AA", "A" * 400, "ACGT" * 90, "banana", "é\U0001f600é\U0001f600a", "ab" * 100 + "c" + "ab" * 100]
