@@ -100,3 +100,16 @@ def test_tables(spark):
         body = re.search("<article>(.*?)</article>", r["html"], re.S)[1]
         blocks = (" ".join(html.unescape(re.sub("</?b>", "", b)).split()) for b in re.split("</?(?:p|h1|br)>", body))
         assert got[r["page_id"]] == " ".join(b for b in blocks if b)
+
+
+def test_articles_are_compared(spark):
+    """Words of declared articles go through the suffix arrays of their host as well; the articles stay whole."""
+    told, other = "a story of nine words that two pages tell", "one more that only a single page of it tells"
+    pages = [
+        (1, "http://a.org/1", f"<nav>menu one</nav><article><p>{told}<p>{other}</article>"),
+        (2, "http://a.org/2", f"<nav>menu two</nav><article><p>Before it. {told}</article>"),
+        (3, "http://b.org/1", f"<article><p>{told}</article>"),
+        (4, "http://a.org/3", f"<p>{told} <p>and this stays"),
+    ]
+    got = {r["page_id"]: (r["text"], r["n_repeated"]) for r in H.main_text(frame(spark, pages)).collect()}
+    assert got == {1: (f"{told} {other}", 9), 2: (f"Before it. {told}", 9), 3: (told, 0), 4: ("and this stays", 9)}
